@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from phasewright.llm.components import group_links, links_of_lists
 from phasewright.llm.cooccurrence import contigs_together
+from phasewright.llm.leakage import leaked_items
 from phasewright.llm.mixing import mix_sources
 from phasewright.llm.neardup import graph_records, near_duplicates
+from phasewright.llm.spam import score_pages, spam_pages
 from phasewright.plans.tables import load
 
 
@@ -58,7 +60,22 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(load(spark, sf, "documents"), load(spark, sf, "mix_targets")).shares()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pairs, p1_counts, p2_found, p2_classes, p3_found, p7_mixture, p7_shares)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(load(spark, sf, "documents"), load(spark, sf, "test_items")).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam_pages(load(spark, sf, "documents"))
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The features and the distance of every page."""
+    return score_pages(load(spark, sf, "documents"))
+
+
+QUERIES = {
+    q.__name__: q for q in (p1_found, p1_pairs, p1_counts, p2_found, p2_classes, p3_found, p6_found, p7_mixture, p7_shares, p8_found, p8_scores)
+}
 
 P1_SQL = """
 WITH inc AS (
