@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phasewright.operators.graph import split_graph
 from phasewright.operators.kmers import similarities, sketches
+from phasewright.plans.tables import keep
 
 #: Most split edges of one graph file that a task takes on.
 MAX_EDGES = 20_000_000
@@ -166,6 +167,7 @@ def bubble_alts(bubbles: DataFrame, nodes: DataFrame, k: int = 16, size: int = 1
     two = own.where(F.size("b") > 0)
     sides = two.select("bubble", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("members")), F.struct(F.lit(1).alias("side"), F.col("b").alias("members")))).alias("x")).select("bubble", "x.*")
     seqs = branch_sequences(sides, nodes).select((F.col("bubble") * 2 + F.col("side")).alias("node_id"), "seq")
+    seqs = keep(seqs).df
     score = similarities(two.select((F.col("bubble") * 2).alias("a"), (F.col("bubble") * 2 + 1).alias("b")), sketches(seqs, k, size)).select(F.floor(F.col("a") / 2).alias("bubble"), "jaccard")
     full = seqs.where("seq <> ''").groupBy(F.floor(F.col("node_id") / 2).alias("bubble")).agg(F.count(F.lit(1)).alias("filled"))
     kept = two.join(score, "bubble").join(full, "bubble", "left").where((F.coalesce("filled", F.lit(0)) < 2) | (F.col("jaccard") >= threshold))
@@ -192,7 +194,8 @@ def reciprocal_best(candidates: DataFrame, nodes: DataFrame, k: int = 16, size:
     """
     fit = nodes.where(F.col("length") >= k)
     both = candidates.join(fit.select(F.col("node_id").alias("a")), "a", "left_semi").join(fit.select(F.col("node_id").alias("b")), "b", "left_semi")
-    scored = both.join(similarities(both, sketches(fit, k, size)), ["a", "b"]).where(F.col("jaccard") >= threshold)
+    both, sketched = keep(both).df, keep(sketches(fit, k, size)).df
+    scored = both.join(similarities(both, sketched), ["a", "b"]).where(F.col("jaccard") >= threshold)
     rank = Window.partitionBy("graph_id", "a").orderBy(F.desc("jaccard"), "b")
     best = scored.withColumn("k", F.row_number().over(rank)).where("k = 1").select("graph_id", "a", "b")
     back = best.select("graph_id", F.col("a").alias("b"), F.col("b").alias("a"))
@@ -201,8 +204,8 @@ def reciprocal_best(candidates: DataFrame, nodes: DataFrame, k: int = 16, size:
 
 def unlabelled_alts(bubbles: DataFrame, edges: DataFrame, nodes: DataFrame, k: int = 16, size: int = 1000, threshold: float = 0.9) -> DataFrame:
     """(node_id, alt_id): alts by topology, then reciprocal siblings among the nodes that no bubble claims."""
-    claimed = bubble_alts(bubbles, nodes, k, size, threshold)
-    free = nodes.join(claimed, "node_id", "left_anti")
+    claimed = keep(bubble_alts(bubbles, nodes, k, size, threshold)).df
+    free = keep(nodes.join(claimed, "node_id", "left_anti")).df
     pairs = reciprocal_best(sibling_candidates(edges), free, k, size, threshold)
     ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("p"))
     return claimed.unionByName(ways.groupBy(F.col("p.n").alias("node_id")).agg(F.min("p.m").alias("alt_id")))

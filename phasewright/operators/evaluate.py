@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 #: Names of the metrics kept from a report (fixed values of the report's format).
 REPORT_KEYS = {
-    "# contigs": "contigs", "Total length": "total_length", "Largest contig": "largest_contig", "N50": "n50", "NG50": "ng50", "# misassemblies": "misassemblies",
-    "Genome fraction (%)": "genome_fraction", "Duplication ratio": "duplication_ratio", "# mismatches per 100 kbp": "mismatches", "# indels per 100 kbp": "indels",
-    "Largest alignment": "largest_alignment", "Total aligned length": "aligned_length",
-}
+    "# contigs": "contigs",
+    "Total length": "total_length",
+    "Largest contig": "largest_contig",
+    "N50": "N50",
+    "NG50": "NG50",
+    "# misassemblies": "misassemblies",
+    "Genome fraction (%)": "genome_fraction",
+    "Duplication ratio": "duplication_ratio",
+    "# mismatches per 100 kbp": "mismatches_per_100k",
+    "# indels per 100 kbp": "indels_per_100k",
+    "Total aligned length": "aligned_length",
+    "Reference length": "ref_length",
+}
 NO_MISMATCHES, NO_INDELS = 9999.0, 9999.0
 
 
@@ -29,20 +38,20 @@ def score(genome_fraction: Column, mismatches: Column, indels: Column) -> Column
 
 
 def assignments(metrics: DataFrame) -> DataFrame:
-    """(tool, straight, crossed, assignment) from metrics (tool, phase, ref, genome_fraction, mismatches, indels).
+    """(tool, straight, crossed, phase0_parent) from metrics (tool, phase, ref, genome_fraction, mismatches, indels).
 
-    ``PAT/MAT`` if haplotype 0 against the paternal and 1 against the maternal
-    reference score at least as much as the other way round, else
-    ``MAT/PAT``; ``?`` unless all four are there.
+    Haplotype 0 is ``PATERNAL`` if it against the paternal and 1 against the
+    maternal reference score at least as much as the other way round, else
+    ``MATERNAL``; ``?`` unless all four are there.
     """
     scored = metrics.withColumn("score", score(F.col("genome_fraction"), F.col("mismatches"), F.col("indels")))
     of = lambda p, r: F.max(F.when((F.col("phase") == p) & (F.col("ref") == r), F.col("score")))
     wide = scored.groupBy("tool").agg(of(0, "pat").alias("p0"), of(1, "mat").alias("m1"), of(0, "mat").alias("m0"), of(1, "pat").alias("p1"))
     straight, crossed = F.col("p0") + F.col("m1"), F.col("m0") + F.col("p1")
-    name = F.when(straight.isNull() | crossed.isNull(), "?").when(straight >= crossed, "PAT/MAT").otherwise("MAT/PAT")
-    return wide.select("tool", straight.alias("straight"), crossed.alias("crossed"), name.alias("assignment"))
+    name = F.when(straight.isNull() | crossed.isNull(), "?").when(straight >= crossed, "PATERNAL").otherwise("MATERNAL")
+    return wide.select("tool", straight.alias("straight"), crossed.alias("crossed"), name.alias("phase0_parent"))
 
 
 def readable_length(bases: Column) -> Column:
     """A length in Mb with two places, or ``-`` if there is none."""
-    return F.coalesce(F.format_string("%.2f Mb", bases.cast("double") / 1e6), F.lit("-"))
+    return F.when(bases.isNull(), "-").otherwise(F.format_string("%.2f Mb", bases.cast("double") / 1e6))

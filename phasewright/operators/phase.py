@@ -166,7 +166,7 @@ def assign_phases(contacts: DataFrame, alts: DataFrame, locked: DataFrame, confi
     for r in range(config.rounds):
         signs = ascend(start(config.seed ^ (r * 1000), config.samples), weights, field, config.sweeps)
         agreed = agreement(signs, meta_adjacency(weights)).where(F.col("agreement") >= config.merge_threshold)
-        to = keep(merged(signs, agreed), n=F.count_distinct("rep")).df
+        to = keep(merged(signs, agreed)).df
         a, b = to.select(F.col("meta").alias("i"), F.col("rep").alias("ri"), F.col("rel").alias("si")), to.select(F.col("meta").alias("j"), F.col("rep").alias("rj"), F.col("rel").alias("sj"))
         weights = keep(
             weights.join(a, "i").join(b, "j").where("ri <> rj").groupBy(F.col("ri").alias("i"), F.col("rj").alias("j")).agg(F.sum(F.col("w") * F.col("si") * F.col("sj")).alias("w"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasewright.functions.text import cigar_length
@@ -47,6 +47,25 @@ def phased(spark: SparkSession, sf: str) -> DataFrame:
     return alts(spark, sf).select("node_id", F.when(F.col("node_id") < F.col("alt_id"), 0).otherwise(1).cast("byte").alias("phase"))
 
 
+def locks(spark: SparkSession, sf: str) -> DataFrame:
+    """(node_id, phase) of the nodes that were unzipped on one haplotype only."""
+    own = load(spark, sf, "uz_segments").where("src_id IS NOT NULL").groupBy(F.col("src_id").alias("node_id")).agg(F.min("phase").alias("phase"), F.max("phase").alias("high"))
+    return own.where("phase = high AND phase >= 0").select("node_id", F.col("phase").cast("byte").alias("phase"))
+
+
+def chain_table(spark: SparkSession, sf: str) -> DataFrame:
+    """(graph_id, part, chain_idx, pos, node_id): the unzipped segments of a graph file and phase, in order, as one chain."""
+    own = load(spark, sf, "uz_segments").where("src_id IS NOT NULL AND graph_id IS NOT NULL")
+    part = F.when(F.col("phase") >= 0, F.col("phase").cast("int")).otherwise(2)
+    place = Window.partitionBy("graph_id", part).orderBy("seg_idx")
+    pos = (F.row_number().over(place) - 1).cast("long")
+    return own.select("graph_id", part.alias("part"), F.lit(0).cast("long").alias("chain_idx"), pos.alias("pos"), F.col("src_id").alias("node_id"))
+
+
+def bubble_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "bubbles").select(F.col("bubble_id").alias("bubble"), "branch_a", "branch_b")
+
+
 SEGMENTS = "segs AS (SELECT line_no, node_id, name, seq, ln, rc FROM segments UNION ALL SELECT 0, node_id, name, seq, ln, rc FROM shared_segments)"
 NODES = (
     SEGMENTS
@@ -71,3 +90,9 @@ ALTS = """turned AS (
   UNION ALL SELECT pair_no, alt_id, node_id FROM alt_map WHERE node_id <> alt_id),
 alts AS (SELECT n AS node_id, alt AS alt_id FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pair_no DESC, alt DESC) AS k FROM turned) WHERE k = 1)"""
 PHASED = ALTS + ",\nphased AS (SELECT node_id, CASE WHEN node_id < alt_id THEN 0 ELSE 1 END AS phase FROM alts)"
+LOCKS = """locks AS (
+  SELECT src_id AS node_id, min(phase) AS phase FROM uz_segments WHERE src_id IS NOT NULL GROUP BY src_id HAVING min(phase) = max(phase) AND min(phase) >= 0)"""
+CHAIN = """chain AS (
+  SELECT graph_id, CASE WHEN phase >= 0 THEN phase ELSE 2 END AS part, 0 AS chain_idx,
+    row_number() OVER (PARTITION BY graph_id, CASE WHEN phase >= 0 THEN phase ELSE 2 END ORDER BY seg_idx) - 1 AS pos, src_id AS node_id
+  FROM uz_segments WHERE src_id IS NOT NULL AND graph_id IS NOT NULL)"""
