@@ -80,6 +80,9 @@ def log_tail(seen: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
         upper = mills + np.log1p(np.clip(np.exp(log_phi - mills) * fix, -0.999999, None))
     normal = _log_upper((seen - 0.5 - mean) / np.sqrt(var))
     out = np.where(up & (w > 1e-3), upper, normal)
+    with np.errstate(divide="ignore"):
+        every = (n * np.log(np.maximum(p, 1e-300)) * (p > 0)).sum(1)
+    out = np.where(seen >= most, every, out)  # only all trials together reach it
     out = np.where(seen <= 0, 0.0, out)
     return np.minimum(out, 0.0)
 

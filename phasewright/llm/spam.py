@@ -30,7 +30,7 @@ SALES_WORDS = frozenset(
 _LANGUAGE = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words.split()}
 
 _LINK = re.compile(r"https?:|www\b|[?&]\w+=|\w/\w|\w\.\w{3,}[/.]|^dot$|\w{3}[\d-]*\.(?:[a-z]{2,7})(?:/|$)")
-_TAG = re.compile(r"^#\w|^sku$|^[^\W\d]{2,}:\w+;?$|^[>*|•~»]+$")
+_TAG = re.compile(r"^#\w|^sku$|^[^\W\d]{2,}:\w+;?$")
 _DIGITS = str.maketrans("01569", "olsbg")
 _WORD = re.compile(r"[^\W\d_]+")
 LINK, TAG, SALE, FUNC, NUMBER, MARK, PLAIN = range(7)
