@@ -141,7 +141,7 @@ def test_phasing_reaches_a_fixed_point(spark):
         contacts[u, v] = random.randint(1, 9)
     c = spark.createDataFrame([(u, v, w) for (u, v), w in contacts.items()], "u long, v long, w long")
     alts = spark.createDataFrame([(a, b) for p in pairs for a, b in (p, p[::-1])], "node_id long, alt_id long")
-    locked = spark.createDataFrame([(0, 1)], "node_id long, phase byte")
+    locked = spark.createDataFrame([(0, 1), (1, 0)], "node_id long, phase byte")
     alone = P.PhaserConfig(sweeps=50, rounds=1, merge_threshold=1.1)  # metas are merged as wholes, so only single ones end where no flip gains
     got = dict(rows(P.assign_phases(c, alts, locked, alone)))
     assert got[0] == 1 and got[1] == 0 and all(got[a] + got[b] == 1 for a, b in pairs)
