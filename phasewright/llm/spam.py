@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +25,17 @@ SALES_WORDS = frozenset(
     "offre billig günstig bestseller free genuine original discount cut-price quality sale online outlet pas-cher bargain top cheap best deal deals buy shop promo solde rabatt angebot"
     " achat gratis kaufen acheter".split()
 )
+_LANGUAGES = list(FUNCTION_WORDS)
 _LANGUAGE = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words.split()}
 
 _LINK = re.compile(r"https?:|www\b|[?&]\w+=|\w/\w|\w\.\w{3,}[/.]|^dot$|\w{3}[\d-]*\.(?:[a-z]{2,7})(?:/|$)")
 _TAG = re.compile(r"^#\w|^sku$|^[^\W\d]{2,}:\w+;?$")
+_EDGES = ".,;:!?\"'()[]*|>"
 _DIGITS = str.maketrans("01569", "olsbg")
 _WORD = re.compile(r"[^\W\d_]+")
 LINK, TAG, SALE, FUNC, NUMBER, MARK, PLAIN = range(7)
-#: Most token forms whose kind a task keeps at hand.
-CACHE = 200_000
+#: Most token forms whose kind a task keeps at hand, and letters worked on at a time.
+CACHE, LETTERS = 200_000, 2_000_000
 #: Least share of a page's words found in spam runs: half of them, less what the scan makes of keywords (a misread one
 #: is no repeat).  Pages of ordinary matter stay below a quarter.
 MAJORITY = 0.42
@@ -46,15 +46,20 @@ FAR = 18.47
 def kind_of(token: str) -> tuple[int, str]:
     """Kind of a token and the form under which its repeats are counted."""
     t = token.lower()
-    if any(c.isdigit() for c in t) and sum(c.isalpha() for c in t) >= 3 and not _LINK.search(t):
-        t = t.translate(_DIGITS)
-    words = _WORD.findall(t)
-    key = max(words, key=len) if words else ""
-    bare = t.strip(".,;:!?\"'()[]*|>")
+    bare = t.strip(_EDGES)
     if bare in _LANGUAGE:
         return FUNC, bare
     if bare in SALES_WORDS:
         return SALE, bare
+    if bare.isalpha() and t[0] not in "#":
+        return PLAIN, bare
+    if any(c.isdigit() for c in t) and sum(c.isalpha() for c in t) >= 3 and not _LINK.search(t):
+        t = t.translate(_DIGITS)
+        bare = t.strip(_EDGES)
+        if bare in SALES_WORDS:
+            return SALE, bare
+    words = _WORD.findall(t)
+    key = max(words, key=len) if words else ""
     if _LINK.search(t):
         return LINK, key
     if _TAG.search(t):
@@ -66,72 +71,108 @@ def kind_of(token: str) -> tuple[int, str]:
     return (NUMBER if any(c.isdigit() for c in t) else PLAIN), key
 
 
-class Tokens:
-    """Kinds of token forms, remembered."""
+class Tokens(dict):
+    """Number of each token form met so far, with its kind, the number of its counted form, and its language."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, str]] = {}
+        super().__init__()
+        self.forms: dict[str, int] = {}
+        self.kind, self.form, self.language = [], [], []
 
-    def __call__(self, token: str) -> tuple[int, str]:
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            got = self.known[token] = kind_of(token)
-        return got
+    def __missing__(self, token: str) -> int:
+        kind, key = kind_of(token)
+        self[token] = number = len(self.kind)
+        self.kind.append(kind)
+        self.form.append(self.forms.setdefault(key, len(self.forms)) if key else -1)
+        self.language.append(_LANGUAGES.index(_LANGUAGE[key]) if kind == FUNC else -1)
+        return number
 
 
-def page_features(text: str | None, kinds=kind_of) -> tuple[int, str, float, float, float, float]:
-    """(words, language, run density, entropy, repetition, function-word share) of one page.
+def features(texts: list[str | None], tokens: Tokens | None = None) -> list[tuple[int, str, float, float, float, float]]:
+    """(words, language, run density, entropy, repetition, function-word share) of each page.
 
     Run density is the share of the words in lines of links, product tags or
-    repeated sales words.  A word is a keyword of the page if it comes three
-    times or more and stands mostly beside links, tags, sales words or other
-    words that repeat, and hardly ever beside function words, or if it follows
-    sales words three times and in three of ten places.
-    Entropy is that of the word forms against that of as many different words,
-    repetition the share of words that came before.  A page without words has
-    zeros and no language.
+    repeated sales words.  A word is a keyword of its page if it comes three
+    times or more and stands mostly beside links, tags, sales words, marks or
+    other words that repeat, and hardly ever beside function words or numbers,
+    or if it follows sales words three times and in three of ten places.  A
+    line too short to tell goes with the one before.  Entropy is that of the
+    word forms against that of as many different ones, repetition the share of
+    forms that came before.  A page without words has zeros and no language.
     """
-    lines = [[kinds(t) for t in line.split()] for line in (text or "").split("\n")]
-    flat = [t for line in lines for t in line]
-    n = sum(1 for kind, _ in flat if kind != MARK)
-    if not n:
-        return 0, "", 0.0, 0.0, 0.0, 0.0
-    count = Counter(key for _, key in flat if key)
-    near: dict[str, list[float]] = {}
-    praised: Counter = Counter()
-    for line in lines:
-        for k, (kind, key) in enumerate(line):
-            if kind != PLAIN or count[key] < 3:
-                continue
-            praised[key] += k > 0 and line[k - 1][0] == SALE
-            tally = near.setdefault(key, [0.0, 0.0, 0.0])
-            for other, form in line[max(0, k - 2) : k] + line[k + 1 : k + 3]:
-                tally[2] += 1
-                if other in (FUNC, NUMBER):
-                    tally[0] += 1 if other == FUNC else 0.5
-                elif other in (LINK, TAG, SALE, MARK) or (other == PLAIN and count[form] >= 3):
-                    tally[1] += 1
-    keywords = {key for key, (func, spam, seen) in near.items() if spam >= 0.5 * seen and func <= 0.12 * seen}
-    keywords |= {key for key, times in praised.items() if times >= 3 and times >= 0.3 * count[key]}
-    inside, before = 0, False
-    for line in lines:
-        if not line:
-            continue
-        spam = sum(1 for kind, key in line if kind in (LINK, TAG, SALE) or (kind == PLAIN and key in keywords))
-        marks = sum(1 for kind, _ in line if kind == MARK)
-        func = sum(1 for k, (kind, _) in enumerate(line) if kind == FUNC and not (k and line[k - 1][1] in keywords))
-        words = len(line) - marks
-        if spam or func or words > 2:
-            before = spam + 0.5 * marks >= 0.36 * (words + 0.5 * marks) and spam > 1.5 * func if words else before
-        if before:
-            inside += words
-    forms = sum(count.values())
-    entropy = -sum(c / forms * math.log(c / forms) for c in count.values()) / math.log(max(forms, 2)) if forms else 0.0
-    voices = Counter(_LANGUAGE[key] for kind, key in flat if kind == FUNC)
-    language = voices.most_common(1)[0][0] if voices and sum(voices.values()) >= 0.05 * n else ""
-    return n, language, inside / n, entropy, 1 - len(count) / forms if forms else 0.0, sum(voices.values()) / n
+    tokens = Tokens() if tokens is None else tokens
+    pages = len(texts)
+    ids, width, lines = [], [], []
+    for text in texts:
+        rows = [row.split() for row in (text or "").split("\n")]
+        lines.append(len(rows))
+        width.extend(map(len, rows))
+        for row in rows:
+            ids.extend([tokens[t] for t in row])
+    ids, width = np.array(ids, np.int64), np.array(width, np.int64)
+    page_of_line = np.repeat(np.arange(pages), lines)
+    line = np.repeat(np.arange(len(width)), width)
+    page = page_of_line[line]
+    kind = np.array(tokens.kind, np.int8)[ids]
+    form = np.array(tokens.form, np.int64)[ids]
+    words = np.bincount(page[kind != MARK], minlength=pages)
+
+    has_form = form >= 0
+    own, place, count = np.unique(page[has_form] * np.int64(len(tokens.forms) + 1) + form[has_form], return_inverse=True, return_counts=True)
+    key = np.full(len(ids), -1)
+    key[has_form] = place
+    repeats = np.zeros(len(ids), np.int64)
+    repeats[has_form] = count[place]
+    often = (kind == PLAIN) & (repeats >= 3)
+    func, spam, seen, praised = (np.zeros(len(ids)) for _ in range(4))
+    weight = np.where(kind == FUNC, 1.0, np.where(kind == NUMBER, 0.5, 0.0))
+    mate = np.isin(kind, (LINK, TAG, SALE, MARK)) | often
+    for step in (1, 2):
+        together = line[step:] == line[:-step]
+        for here, there in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+            func[here] += together * weight[there]
+            spam[here] += together * mate[there]
+            seen[here] += together
+    if len(ids) > 1:
+        praised[1:] = (line[1:] == line[:-1]) & (kind[:-1] == SALE)
+    total = lambda x: np.bincount(key[often], weights=x[often], minlength=len(own))
+    func_near, spam_near, near, after_sale = total(func), total(spam), total(seen), total(praised)
+    is_key = (near > 0) & (spam_near >= 0.5 * near) & (func_near <= 0.12 * near) | (after_sale >= 3) & (after_sale >= 0.3 * count)
+    keyword = np.zeros(len(ids), bool)
+    keyword[often] = is_key[key[often]]
+
+    bad = np.isin(kind, (LINK, TAG, SALE)) | keyword
+    plain_func = kind == FUNC
+    if len(ids) > 1:
+        plain_func[1:] &= ~(keyword[:-1] & (line[1:] == line[:-1]))
+    per = lambda mask: np.bincount(line[mask], minlength=len(width))
+    n_bad, n_marks, n_func = per(bad), per(kind == MARK), per(plain_func)
+    n_words = width - n_marks
+    told = (n_words > 0) & ((n_bad > 0) | (n_func > 0) | (n_words > 2))
+    verdict = told & (n_bad + 0.5 * n_marks >= 0.36 * (n_words + 0.5 * n_marks)) & (n_bad > 1.5 * n_func)
+    first_line = np.concatenate(([0], np.cumsum(lines)[:-1])).astype(np.int64)[page_of_line]
+    last = np.maximum.accumulate(np.where(told, np.arange(len(width)), -1))
+    in_run = (last >= first_line) & verdict[np.maximum(last, 0)]
+    inside = np.bincount(page_of_line, weights=n_words * in_run, minlength=pages)
+
+    forms = np.bincount(page[has_form], minlength=pages)
+    different = np.bincount(own // np.int64(len(tokens.forms) + 1), minlength=pages)
+    share = count / np.maximum(forms[own // np.int64(len(tokens.forms) + 1)], 1)
+    entropy = np.bincount(own // np.int64(len(tokens.forms) + 1), weights=-share * np.log(share), minlength=pages) / np.log(np.maximum(forms, 2))
+    language = np.array(tokens.language, np.int64)[ids]
+    voices = np.stack([np.bincount(page[language == k], minlength=pages) for k in range(len(_LANGUAGES))])
+    heard = voices.sum(0)
+    n = np.maximum(words, 1)
+    names = np.where((heard > 0) & (heard >= 0.05 * n), np.array(_LANGUAGES)[voices.argmax(0)], "")
+    out = zip(
+        words.tolist(), names.tolist(), (inside / n).tolist(), entropy.tolist(), np.where(forms > 0, 1 - different / np.maximum(forms, 1), 0.0).tolist(), (heard / n).tolist(), strict=True
+    )
+    return [row if row[0] else (0, "", 0.0, 0.0, 0.0, 0.0) for row in out]
+
+
+def page_features(text: str | None) -> tuple[int, str, float, float, float, float]:
+    """The features of one page."""
+    return features([text])[0]
 
 
 FEATURES = ("density", "entropy", "repetition", "function_share")
@@ -151,9 +192,15 @@ def features_of(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Tokens()
+        tokens = Tokens()
         for batch in batches:
-            rows = [page_features(t, kinds) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            size = np.cumsum([len(t or "") for t in texts])
+            rows = []
+            for group in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // LETTERS)) + 1):
+                rows += features([texts[g] for g in group], tokens)
+                if len(tokens) > CACHE:
+                    tokens = Tokens()
             cols = list(zip(*rows, strict=True)) or [()] * 6
             label = [(x or "").strip().lower()[:2] for x in batch.column("label").to_pylist()]
             language = [own or (x if x in FUNCTION_WORDS else "") for own, x in zip(cols[1], label, strict=True)]
