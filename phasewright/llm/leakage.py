@@ -20,8 +20,8 @@ WALKS, SAMPLES, TAKEN = 3, 3, 11
 EDITS = 3
 #: A case holds so many successive words of an item, and such a share of its words.
 RUN_WORDS, SHARE = 16, 0.25
-#: Windows and letters worked on at a time.
-SLICE, LETTERS = 200_000, 2_000_000
+#: Windows and letters worked on at a time, and windows that stay in a processor's cache.
+SLICE, LETTERS, CACHED = 200_000, 2_000_000, 16_000
 #: Items that one index holds; more are probed in blocks of that many.
 ITEMS = 2000
 SEED = 20240229
@@ -79,12 +79,13 @@ class Letters:
 def _walks() -> tuple[np.ndarray, np.ndarray]:
     """The random bits of the walks, the same for all texts, and the steps that each sample takes."""
     rng = np.random.default_rng(SEED)
-    moves = rng.integers(0, 2, (WALKS, STEPS, 128), dtype=np.uint8)
+    moves = rng.integers(0, 2, (WALKS, STEPS, 128), dtype=np.int64)
     taken = np.stack([np.sort(rng.choice(STEPS - 6, TAKEN, replace=False)) for _ in range(WALKS * SAMPLES)])
     return moves, taken
 
 
 _MOVES, _TAKEN = _walks()
+_TAKES = [set(t) for t in _TAKEN.tolist()]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,17 +98,21 @@ def sketch(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """
     padded = np.concatenate((codes, np.zeros(STEPS + 1, np.uint8)))
     out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
-    for walk in range(WALKS):
-        at = starts.astype(np.int64)
-        mine = range(walk * SAMPLES, (walk + 1) * SAMPLES)
-        for step in range(int(_TAKEN[list(mine)].max()) + 1):
-            sign = padded[at]
-            for k in mine:
-                if step in _TAKEN[k]:
-                    out[k] = out[k] * np.uint64(31) + sign
-            at = at + _MOVES[walk, step][sign]
-        for k in mine:
-            out[k] = (out[k] * _MIX) ^ (out[k] >> np.uint64(17))
+    for begin in range(0, len(starts), CACHED):
+        here = slice(begin, begin + CACHED)
+        for walk in range(WALKS):
+            at = starts[here].astype(np.int64)
+            mine = range(walk * SAMPLES, (walk + 1) * SAMPLES)
+            for step in range(int(_TAKEN[list(mine)].max()) + 1):
+                sign = np.take(padded, at, mode="clip")
+                for k in mine:
+                    if step in _TAKES[k]:
+                        out[k, here] *= np.uint64(31)
+                        out[k, here] += sign
+                at += np.take(_MOVES[walk, step], sign, mode="clip")
+    for h in out:
+        h *= _MIX
+        h ^= h >> np.uint64(17)
     return out
 
 
