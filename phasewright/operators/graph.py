@@ -84,26 +84,30 @@ def degrees(edges: DataFrame, scope: str = "graph_id") -> DataFrame:
 def weak_components(nodes: DataFrame, edges: DataFrame, scope: str = "graph_id", node: str = "node_id", max_rounds: int = 60) -> DataFrame:
     """(scope, node, component): the smallest node reached over edges in either direction; nodes without edges stay alone.
 
-    Every node takes the smallest label among its neighbours' labels and then
-    the label of its label, until nothing changes; each round is a table in
-    the shared folder.
+    Stars are made larger and smaller in turn: first every node links its
+    larger neighbours to the smallest one it knows, then itself and its smaller
+    neighbours, until the links are stars around the smallest node.  Minima
+    are combined before they are shuffled; a hub's links are split by the skew
+    join.  Each round is a table in the shared folder.
     """
     v = nodes.select(F.col(scope).alias("s"), F.col(node).alias("v")).unionByName(edges.select(F.col(scope).alias("s"), F.explode(F.array("src", "dst")).alias("v"))).where("v IS NOT NULL").distinct()
-    pairs = edges.where("src <> dst").select(F.col(scope).alias("s"), F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
-    pairs = keep(pairs.select("s", "e.a", "e.b").distinct()).df
-    total = {"sum": F.sum(F.col("c").cast("decimal(38,0)"))}
-    labels = keep(v.withColumn("c", F.col("v")), **total)
+    link = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    stats = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("s", "a", "b"))}
+    start = edges.where("src <> dst").select(F.col(scope).alias("s"), F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
+    state = keep(start, **stats)
     for _ in range(max_rounds):
-        own = labels.df
-        near = pairs.join(own.withColumnRenamed("v", "b"), ["s", "b"]).groupBy("s", "a").agg(F.min("c").alias("near"))
-        hop = own.join(near.withColumnRenamed("a", "v"), ["s", "v"], "left").withColumn("c", F.least("c", "near")).drop("near")
-        up = own.select("s", F.col("v").alias("c"), F.col("c").alias("up"))
-        after = keep(hop.join(up, ["s", "c"], "left").select("s", "v", F.least("c", "up").alias("c")), **total)
-        done = after.stats == labels.stats
-        labels.drop()
-        labels = after
+        both = state.df.select("s", F.explode(F.array(link("a", "b"), link("b", "a"))).alias("e")).select("s", "e.a", "e.b")
+        low = both.groupBy("s", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(low, ["s", "a"]).select("s", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("s", "a").agg(F.min("b").alias("m"))
+        small = large.join(low, ["s", "a"]).select("s", F.explode(F.array(link("b", "m"), link("a", "m"))).alias("e")).select("s", "e.a", "e.b")
+        after = keep(small.where("a <> b").distinct(), **stats)
+        done = after.stats == state.stats
+        state.drop()
+        state = after
         if done:
-            return labels.df.select(F.col("s").alias(scope), F.col("v").alias(node), F.col("c").alias("component"))
+            root = state.df.select("s", F.col("a").alias("v"), F.col("b").alias("c"))
+            return v.join(root, ["s", "v"], "left").select(F.col("s").alias(scope), F.col("v").alias(node), F.coalesce("c", "v").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
