@@ -16,6 +16,8 @@ from phasewright.plans.tables import is_empty, keep
 BLOCK = 64
 #: Item degrees above this are put together with those at most 1 % away, which bounds the classes of the null model.
 EXACT_DEGREE = 4096
+#: The same for the sizes of records, whose classes travel with every pair that is tested.
+EXACT_SIZE = 128
 #: Width of a p-value class in the false-discovery control, as a power of e.
 BIN = 0.01
 MAX_BIN = 80_000
@@ -119,9 +121,7 @@ def _surprise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = np.flatnonzero(codes == code)
             one = pdf.iloc[at[0]]
             y, n = np.asarray(one["record_fitness"], float), np.asarray(one["record_n"], float)
-            classes, x = np.asarray(one["item_class"]), np.asarray(one["item_fitness"], float)
-            xa = x[np.searchsorted(classes, pdf["class_lo"].to_numpy()[at])]
-            xb = x[np.searchsorted(classes, pdf["class_hi"].to_numpy()[at])]
+            xa, xb = pdf["x_lo"].to_numpy()[at], pdf["x_hi"].to_numpy()[at]
             for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
                 qa, qb = np.outer(xa[part], y), np.outer(xb[part], y)
                 p = qa / (1 + qa) * qb / (1 + qb)
@@ -130,10 +130,10 @@ def _surprise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["s", "lo", "hi", "n_both", "n_lo", "n_hi", "n_records"]].assign(expected=expected, log_p=logp)
 
 
-def _degree_class(degree):
-    """The degree itself up to EXACT_DEGREE, beyond it the start of its 1 % class."""
-    step = F.floor(F.log(degree / F.lit(EXACT_DEGREE)) / math.log(1.01))
-    return F.when(degree <= EXACT_DEGREE, degree).otherwise(F.floor(F.lit(EXACT_DEGREE) * F.pow(F.lit(1.01), step)).cast("long") + 1)
+def _degree_class(degree, exact):
+    """The degree itself up to ``exact``, beyond it the start of its 1 % class."""
+    step = F.floor(F.log(degree / F.lit(exact)) / math.log(1.01))
+    return F.when(degree <= exact, degree).otherwise(F.floor(F.lit(exact) * F.pow(F.lit(1.01), step)).cast("long") + 1)
 
 
 def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_count: int = 2, block: int = BLOCK) -> DataFrame:
@@ -148,11 +148,13 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
     The null is a bipartite configuration model that keeps the expected
     frequency of every item and the expected size of every record.  It is
     fitted per scope on classes of equal degree: at most sqrt(2 * rows) of them
-    exist up to ``EXACT_DEGREE``, and about 70 for each doubling beyond.
+    exist up to ``EXACT_DEGREE`` (``EXACT_SIZE`` for records), and about 70 for
+    each doubling beyond.
 
     Records of more than ``block`` items are cut into blocks by a hash of the
     item; each pair of blocks is a row of its own, so no task has to hold a
-    record.  Records are found to be that large by their row counts.
+    record, and items too rare for ``min_count`` are left out of them first.
+    Records are found to be that large by their row counts.
     """
     rows = rows.select(F.col(scope).alias("s"), F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL")
     large = keep(rows.groupBy("s", "r").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block))
@@ -164,10 +166,17 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
     cut = cut.withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
     baskets = keep(cut.groupBy("s", "r", "blocks", "block").agg(F.array_sort(F.collect_set("i")).alias("items"))).df
 
-    within = baskets.where(F.size("items") > 1).select("s", "items", F.posexplode("items").alias("k", "lo"))
+    freq = keep(baskets.select("s", F.explode("items").alias("i")).groupBy("s", "i").agg(F.count(F.lit(1)).alias("n")).withColumn("class", _degree_class(F.col("n"), EXACT_DEGREE))).df
+    whole, split = baskets.where("blocks = 1"), baskets.where("blocks > 1")
+    large_records = not is_empty(split)
+    if large_records:  # an item of fewer records than min_count is in no pair of that many
+        f = freq.where(F.col("n") >= min_count).select(F.col("s").alias("fs"), F.col("i").alias("fi"))
+        split = split.select("s", "r", "blocks", "block", F.explode("items").alias("i")).join(f, F.col("s").eqNullSafe(F.col("fs")) & (F.col("i") == F.col("fi")), "left_semi")
+        split = keep(split.groupBy("s", "r", "blocks", "block").agg(F.array_sort(F.collect_set("i")).alias("items"))).df
+        whole = whole.unionByName(split)
+    within = whole.where(F.size("items") > 1).select("s", "items", F.posexplode("items").alias("k", "lo"))
     found = within.select("s", "lo", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("hi"))
-    split = baskets.where("blocks > 1")
-    if not is_empty(split):
+    if large_records:
         a, b = split.alias("a"), split.alias("b")
         across = a.join(b, F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.block") < F.col("b.block")))
         across = across.select(F.col("a.s").alias("s"), F.col("b.items").alias("other"), F.explode("a.items").alias("x"))
@@ -175,8 +184,7 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
         found = found.unionByName(across.select("s", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")))
     pairs = found.groupBy("s", "lo", "hi").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_count)
 
-    freq = keep(baskets.select("s", F.explode("items").alias("i")).groupBy("s", "i").agg(F.count(F.lit(1)).alias("n")).withColumn("class", _degree_class(F.col("n")))).df
-    sizes = baskets.groupBy("s", "r").agg(F.sum(F.size("items")).alias("d")).groupBy("s", _degree_class(F.col("d")).alias("degree")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))
+    sizes = baskets.groupBy("s", "r").agg(F.sum(F.size("items")).alias("d")).groupBy("s", _degree_class(F.col("d"), EXACT_SIZE).alias("degree")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))
     classes = freq.groupBy("s", F.col("class").alias("degree")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("n")).alias("mean")).withColumn("kind", F.lit("item"))
     classes = classes.unionByName(sizes.withColumn("kind", F.lit("record")))
     kind = rows.schema["s"].dataType.simpleString()
@@ -186,11 +194,12 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
     )
     model = keep(null.alias("m").join(scopes.alias("c"), F.col("m.s").eqNullSafe(F.col("c.s"))).select("m.*", "c.n_records", "c.n_items")).df
 
-    f = freq.select("s", "i", "n", "class")
+    fitness = model.select(F.col("s").alias("xs"), F.explode(F.arrays_zip("item_class", "item_fitness")).alias("x")).select("xs", F.col("x.item_class").alias("xc"), F.col("x.item_fitness").alias("x"))
+    f = keep(freq.join(fitness, F.col("s").eqNullSafe(F.col("xs")) & (F.col("class") == F.col("xc"))).select("s", "i", "n", "x")).df
     for side in ("lo", "hi"):
-        g = f.select(F.col("s").alias("gs"), F.col("i").alias("gi"), F.col("n").alias(f"n_{side}"), F.col("class").alias(f"class_{side}"))
+        g = f.select(F.col("s").alias("gs"), F.col("i").alias("gi"), F.col("n").alias(f"n_{side}"), F.col("x").alias(f"x_{side}"))
         pairs = pairs.join(g, F.col("s").eqNullSafe(F.col("gs")) & (F.col(side) == F.col("gi"))).drop("gs", "gi")
-    rich = pairs.join(model.drop("n_items").withColumnRenamed("s", "ms"), F.col("s").eqNullSafe(F.col("ms"))).drop("ms")
+    rich = pairs.join(model.select(F.col("s").alias("ms"), "n_records", "record_fitness", "record_n"), F.col("s").eqNullSafe(F.col("ms"))).drop("ms")
     item_type = rows.schema["i"].dataType.simpleString()
     tested = keep(
         rich.mapInPandas(

@@ -22,7 +22,8 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    often = (F.col("n_both") >= 5) & (F.col("n_both") * F.col("n_records") >= 4 * F.col("n_lo") * F.col("n_hi"))
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    often = (F.col("n_both") >= 5) & (big("n_both") * big("n_records") >= 4 * (big("n_lo") * big("n_hi")))
     return p1_pairs(spark, sf).where(often & F.col("log_q").isNotNull()).select("library_id", "name_lo", "name_hi")
 
 
