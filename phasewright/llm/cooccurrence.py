@@ -14,6 +14,8 @@ from phasewright.plans.tables import is_empty, keep
 
 #: Items of a record that one block holds; larger records are cut into blocks, and pairs of blocks are matched as rows of their own.
 BLOCK = 64
+#: Rows of a record beyond which its pairs are looked up rather than made.
+GIANT = 4096
 #: Item degrees above this are put together with those at most 1 % away, which bounds the classes of the null model.
 EXACT_DEGREE = 4096
 #: The same for the sizes of records, whose classes travel with every pair that is tested.
@@ -136,7 +138,7 @@ def _degree_class(degree, exact):
     return F.when(degree <= exact, degree).otherwise(F.floor(F.lit(exact) * F.pow(F.lit(1.01), step)).cast("long") + 1)
 
 
-def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_count: int = 2, block: int = BLOCK) -> DataFrame:
+def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_count: int = 2, block: int = BLOCK, giant: int = GIANT) -> DataFrame:
     """All pairs of different items that meet in at least ``min_count`` records of a scope, with the surprise of it.
 
     An item counts once per record; rows with a null record or item are
@@ -154,6 +156,9 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
     Records of more than ``block`` items are cut into blocks by a hash of the
     item; each pair of blocks is a row of its own, so no task has to hold a
     record, and items too rare for ``min_count`` are left out of them first.
+    Where a scope has fewer than ``min_count`` records of over ``giant`` rows,
+    their pairs are not made at all: a pair that reaches ``min_count`` then
+    occurs in another record, so the pairs of those are looked up in them.
     Records are found to be that large by their row counts.
     """
     rows = rows.select(F.col(scope).alias("s"), F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL")
@@ -168,11 +173,17 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
 
     freq = keep(baskets.select("s", F.explode("items").alias("i")).groupBy("s", "i").agg(F.count(F.lit(1)).alias("n")).withColumn("class", _degree_class(F.col("n"), EXACT_DEGREE))).df
     whole, split = baskets.where("blocks = 1"), baskets.where("blocks > 1")
-    large_records = not is_empty(split)
+    large_records, giants = not is_empty(split), 0
     if large_records:  # an item of fewer records than min_count is in no pair of that many
         f = freq.where(F.col("n") >= min_count).select(F.col("s").alias("fs"), F.col("i").alias("fi"))
         split = split.select("s", "r", "blocks", "block", F.explode("items").alias("i")).join(f, F.col("s").eqNullSafe(F.col("fs")) & (F.col("i") == F.col("fi")), "left_semi")
         split = keep(split.groupBy("s", "r", "blocks", "block").agg(F.array_sort(F.collect_set("i")).alias("items"))).df
+        huge = split.where(F.col("blocks") * block > giant)
+        giants = huge.select("s", "r").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("g")).agg(F.max("g")).first()[0] or 0
+        if giants < min_count:
+            split = split.where(F.col("blocks") * block <= giant)
+        else:
+            giants = 0
         whole = whole.unionByName(split)
     within = whole.where(F.size("items") > 1).select("s", "items", F.posexplode("items").alias("k", "lo"))
     found = within.select("s", "lo", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("hi"))
@@ -182,7 +193,15 @@ def pairs_together(rows: DataFrame, scope: str, record: str, item: str, min_coun
         across = across.select(F.col("a.s").alias("s"), F.col("b.items").alias("other"), F.explode("a.items").alias("x"))
         across = across.select("s", "x", F.explode("other").alias("y"))
         found = found.unionByName(across.select("s", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")))
-    pairs = found.groupBy("s", "lo", "hi").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_count)
+    pairs = found.groupBy("s", "lo", "hi").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_count - giants)
+    if giants:
+        inside = huge.select("s", "r", F.explode("items").alias("i"))
+        lo = inside.select(F.col("s").alias("ls"), F.col("r").alias("lr"), F.col("i").alias("li"))
+        hi = inside.select(F.col("s").alias("hs"), F.col("r").alias("hr"), F.col("i").alias("hi_"))
+        pairs = keep(pairs).df
+        more = pairs.join(lo, F.col("s").eqNullSafe(F.col("ls")) & (F.col("lo") == F.col("li"))).join(hi, F.col("s").eqNullSafe(F.col("hs")) & (F.col("lr") == F.col("hr")) & (F.col("hi") == F.col("hi_")))
+        more = more.select("s", "lo", "hi", F.lit(1).cast("long").alias("n_both"))
+        pairs = pairs.unionByName(more).groupBy("s", "lo", "hi").agg(F.sum("n_both").alias("n_both")).where(F.col("n_both") >= min_count)
 
     sizes = baskets.groupBy("s", "r").agg(F.sum(F.size("items")).alias("d")).groupBy("s", _degree_class(F.col("d"), EXACT_SIZE).alias("degree")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))
     classes = freq.groupBy("s", F.col("class").alias("degree")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("n")).alias("mean")).withColumn("kind", F.lit("item"))

@@ -36,9 +36,9 @@ def brute(rows, least):
 def test_pairs_together(spark):
     rows = baskets(1) + [("a", 99, f"i{k}", "x", 1) for k in range(31)]
     df = spark.createDataFrame(rows, ROW)
-    for block in (64, 4):
-        got = {(r.s, r.lo, r.hi): (r.n_both, r.n_lo, r.n_hi, r.n_records) for r in pairs_together(df, "g", "r", "i", 2, block).collect()}
-        assert got == brute(rows, 2)
+    for block, giant, least in ((64, 4096, 2), (4, 4096, 2), (4, 8, 2), (4, 20, 3)):
+        got = {(r.s, r.lo, r.hi): (r.n_both, r.n_lo, r.n_hi, r.n_records) for r in pairs_together(df, "g", "r", "i", least, block, giant).collect()}
+        assert got == brute(rows, least)
     assert pairs_together(df.where("false"), "g", "r", "i").collect() == []
 
 
