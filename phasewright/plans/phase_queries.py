@@ -344,7 +344,7 @@ SELECT graph_id, part, 'P' || chr(9) || 'chain_' || CASE part WHEN 0 THEN 'ph0'
     "phase_labels": f"WITH {D.NODES}, {D.PHASED} SELECT name AS contig_id, CAST(phase AS TINYINT) AS phase FROM phased p JOIN nodes n ON n.node_id = p.node_id",
     "assignment_score": """WITH m AS (
   SELECT substr(name, 1, 3) AS tool, phase, CASE WHEN coverage % 2 = 0 THEN 'pat' ELSE 'mat' END AS ref,
-    sum(length)::DOUBLE / 100 - 0.1::DOUBLE * count(*)::DOUBLE - 0.05::DOUBLE * max(coverage)::DOUBLE AS score
+    coalesce(sum(length)::DOUBLE / 100, 0) - 0.1::DOUBLE * count(*)::DOUBLE - 0.05::DOUBLE * max(coverage)::DOUBLE AS score
   FROM uz_segments WHERE phase >= 0 AND name IS NOT NULL GROUP BY 1, 2, 3),
 wide AS (
   SELECT tool, max(score) FILTER (phase = 0 AND ref = 'pat') + max(score) FILTER (phase = 1 AND ref = 'mat') AS straight,
