@@ -123,5 +123,14 @@ SQL = {
     "p1_found": P1_SQL + "SELECT library_id, name_lo, name_hi FROM pairs WHERE n_both * n_records >= 4 * n_lo * n_hi",
     "p1_counts": P1_SQL + "SELECT library_id, name_lo, name_hi, n_both, n_lo, n_hi, n_records FROM pairs",
     "p2_found": P2_SQL + "SELECT kind, id_lo, id_hi FROM similar_pairs",
+    "p2_classes": P2_SQL.rstrip()
+    + """,
+content AS (SELECT kind, id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS c FROM rows GROUP BY 1, 2),
+cls AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, c) AS class_id, count(*) OVER (PARTITION BY kind, c) AS copies FROM content),
+ways AS (SELECT kind, id_lo AS x, id_hi AS y FROM similar_pairs UNION ALL SELECT kind, id_hi, id_lo FROM similar_pairs),
+met_classes AS (
+  SELECT w.kind, a.class_id, count(DISTINCT b.class_id) AS links FROM ways w JOIN cls a ON a.kind = w.kind AND a.id = w.x JOIN cls b ON b.kind = w.kind AND b.id = w.y
+  WHERE a.class_id <> b.class_id GROUP BY 1, 2)
+SELECT cls.kind, id AS record_id, cls.class_id, copies, coalesce(links, 0) AS links FROM cls LEFT JOIN met_classes m ON m.kind = cls.kind AND m.class_id = cls.class_id""",
     "p3_found": P3_SQL + "SELECT kind, id AS member_id, min(low) AS group_id FROM reach GROUP BY kind, id",
 }
