@@ -17,6 +17,7 @@ from phasewright.operators import kmers as K
 from phasewright.operators import names as N
 from phasewright.operators import phase as P
 from phasewright.operators import unzip as U
+from phasewright.plans.shipping import ship
 from phasewright.plans.tables import is_empty, keep
 from phasewright.sources import bam, writers
 from phasewright.sources.fasta import parse_fasta
@@ -114,7 +115,9 @@ def main(args: list[str] | None = None) -> int:
     if a.bubble_mode == "csv" and not a.csv_file:
         parser().error("--bubble-mode csv needs --csv-file")
     try:
-        run(SparkSession.builder.appName("phasewright").getOrCreate(), a)
+        spark = SparkSession.builder.appName("phasewright").getOrCreate()
+        ship(spark)
+        run(spark, a)
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)
         return 1
