@@ -20,6 +20,13 @@ WALKS, SAMPLES, TAKEN = 3, 3, 11
 EDITS = 3
 #: A case holds so many successive words of an item, and such a share of its words.
 RUN_WORDS, SHARE = 16, 0.25
+#: Letters that tie a page to an item beside the windows, if they stand in one line and in no more than ``RARE`` items.
+TIE, RARE = 12, 4
+#: Letters of the seeds by which lines are laid beside an item; seeds that make a line worth following; matched letters, and share of
+#: the line's, that place it; lines from one to the next of a passage; letters lost if one cannot be read, and lines within which that is.
+GRAM, SEEDS, PLACED, PART, BETWEEN, LOST, LOST_WITHIN = 5, 4, 12, 0.6, 24, 24, 8
+#: Share of the letters of a line's stretch that are matched, and most that are misread one after the other: another word is no misreading.
+READ, MISREAD = 0.75, 3
 #: Windows and letters worked on at a time, and windows that stay in a processor's cache.
 SLICE, LETTERS, CACHED = 200_000, 2_000_000, 16_000
 #: Items that one index holds; more are probed in blocks of that many.
@@ -76,6 +83,16 @@ class Letters:
         self.ends = upto[np.minimum(np.cumsum([len(x) + 1 for x in parts]), len(raw))] if parts else np.empty(0, np.int64)
 
 
+def grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A number for the ``size`` letters from each place on (up to 12 letters: their own); the last places have none."""
+    n = max(0, len(codes) - size + 1)
+    out = np.zeros(n, np.int64)
+    for k in range(size):
+        out *= 32
+        out += codes[k : k + n] & 31
+    return out
+
+
 def _walks() -> tuple[np.ndarray, np.ndarray]:
     """The random bits of the walks, the same for all texts, and the steps that each sample takes."""
     rng = np.random.default_rng(SEED)
@@ -148,6 +165,7 @@ class ItemIndex:
     hashes: list
     order: list
     seen: np.ndarray
+    ties: tuple = ()
 
     BITS = 21
 
@@ -175,8 +193,37 @@ class ItemIndex:
             self.order.append(by)
             self.hashes.append(h[by])
             self.seen[(h >> np.uint64(20)).astype(np.int64) & ((1 << cls.BITS) - 1)] = True
+        number = grams(self.codes, TIE)
+        owns = np.searchsorted(self.ends, np.arange(len(number)), "right")
+        inside = owns == np.searchsorted(self.ends, np.arange(len(number)) + TIE - 1, "right")
+        number, owns = np.unique(np.stack((number[inside], owns[inside])), axis=1)
+        _, place, items_with = np.unique(number, return_inverse=True, return_counts=True)
+        rare = items_with[place] <= RARE
+        number, owns = number[rare], owns[rare]
+        met = np.zeros(1 << cls.BITS, bool)
+        met[cls._spot(number)] = True
+        self.ties = (number, owns, met)
         return self
 
+    @classmethod
+    def _spot(cls, number: np.ndarray) -> np.ndarray:
+        return ((number.astype(np.uint64) * _MIX) >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    def tied(self, pages: Letters) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place of an item) where a line of the text has ``TIE`` letters that few items have."""
+        number, owns, met = self.ties
+        texts, mine = [], []
+        for part in range(0, len(pages.codes), SLICE):
+            codes = pages.codes[part : part + SLICE + TIE - 1]
+            line = pages.line[part : part + SLICE + TIE - 1]
+            got = grams(codes, TIE)
+            at = np.flatnonzero(met[self._spot(got)] & (line[: len(got)] == line[TIE - 1 :])) if len(got) else np.empty(0, np.int64)
+            lo, hi = np.searchsorted(number, got[at], "left"), np.searchsorted(number, got[at], "right")
+            n = hi - lo
+            texts.append(np.repeat(np.searchsorted(pages.ends, part + at, "right"), n))
+            mine.append(owns[np.repeat(lo - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())])
+        return (np.concatenate(texts), np.concatenate(mine)) if texts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``starts``, window of an item) of all windows that share a sample."""
         pages, mine = [], []
@@ -210,30 +257,67 @@ class ItemIndex:
         return (np.concatenate(at), np.concatenate(mine)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(place of the text, item, longest run, words held, words of the item) where at least two windows point to a run."""
+        """(place of the text, item, longest run, words held, words of the item) where windows or rare letters tie a text to an item."""
         pages = Letters(*texts)
         p, w = self.verified(pages)
-        if not len(p):
-            return
+        also, of = self.tied(pages)
         text, owner = np.searchsorted(pages.ends, p, "right"), self.owner[w]
         by = np.lexsort((p, owner, text))
-        p, q, text, owner = p[by], self.start[w[by]], text[by], owner[by]
-        cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(owner) != 0)) + 1
-        letters = pages.codes.tobytes()
-        for hits in np.split(np.arange(len(p)), cuts):
-            own = q[hits]
-            if own.max() - own.min() < WINDOW // 2:
-                continue
-            t, o = int(text[hits[0]]), int(owner[hits[0]])
+        p, q = p[by], self.start[w[by]]
+        key = text[by] * np.int64(len(self.ids)) + owner[by]
+        page = None
+        # two windows at different places, or letters that few items have
+        pair, first = np.unique(key, return_index=True)
+        apart = np.maximum.reduceat(q, first) - np.minimum.reduceat(q, first) >= WINDOW // 2 if len(q) else np.zeros(0, bool)
+        for both in np.union1d(pair[apart], also * np.int64(len(self.ids)) + of).tolist():
+            t, o = divmod(both, len(self.ids))
+            hits = slice(*np.searchsorted(key, (both, both + 1)))
             lo, hi = int(self.ends[o - 1]) if o else 0, int(self.ends[o])
             begin, end = int(pages.ends[t - 1]) if t else 0, int(pages.ends[t])
-            pairs = list(zip((p[hits] - begin).tolist(), (own - lo).tolist(), strict=True))
-            held = held_words(letters[begin:end], pages.line[begin:end], pairs, self.codes[lo:hi].tobytes(), self.word[lo:hi])
-            yield t, self.ids[o], longest_run(held), int(held.sum()), int(self.words[o])
-
-
-def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, step: int, matched: bytearray) -> None:
-    """Mark the letters of an item that go on matching the page from (p, q) in one direction, past lone edits."""
+            if page is None or page[0] != t:
+                page = (t, PageLines(pages.codes[begin:end], pages.line[begin:end]))
+            pairs = list(zip((p[hits] - begin).tolist(), (q[hits] - lo).tolist(), strict=True))
+            held = held_words(page[1], pairs, self.codes[lo:hi], self.word[lo:hi])
+            yield t, self.ids[o], max(map(longest_run, held)), int(np.any(held, axis=0).sum()), int(self.words[o])
+
+
+class PageLines:
+    """The letters of one page, the line of each, where each line begins, and the seeds that lie within a line, sorted."""
+
+    def __init__(self, codes: np.ndarray, line: np.ndarray):
+        self.letters = codes.tobytes()
+        first = np.concatenate(([True], line[1:] != line[:-1]))
+        self.line = np.cumsum(first) - 1
+        self.begin = np.concatenate((np.flatnonzero(first), [len(codes)]))
+        number = grams(codes)
+        at = np.flatnonzero(self.line[: len(number)] == self.line[GRAM - 1 :]) if len(number) else np.empty(0, np.int64)
+        by = np.argsort(number[at], kind="stable")
+        self.seed, self.at = number[at][by], at[by]
+
+    def seeds(self, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(line, page letter, item letter, seeds) for the seeds that a line and an item share, one for each line and shift between the two."""
+        number = grams(item)
+        lo, hi = np.searchsorted(self.seed, number, "left"), np.searchsorted(self.seed, number, "right")
+        n = hi - lo
+        if not n.any():
+            return None
+        q = np.repeat(np.arange(len(number)), n)
+        p = self.at[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        line = self.line[p]
+        # an edit shifts the rest of a line by one: neighbouring shifts support each other
+        span = np.int64(len(item) + len(self.letters) + 8)
+        key = line * (2 * span) + (q - p + span)
+        own, first, count = np.unique(key, return_index=True, return_counts=True)
+        upto = np.concatenate(([0], np.cumsum(count)))
+        near = upto[np.searchsorted(own, own + 3, "right")] - upto[np.searchsorted(own, own - 3, "left")]
+        return line[first], p[first], q[first], near
+
+
+def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, step: int, matched: bytearray) -> int | None:
+    """Mark the letters of an item that go on matching the page from (p, q) in one direction, past lone edits.
+
+    Gives the next item letter if the page's end is reached, and None if the texts part before.
+    """
     debt = 0.0
     room_p, room_q = (p_end - p) * step, (q_end - q) * step
     i = j = 0
@@ -246,7 +330,7 @@ def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, s
             continue
         debt += 1
         if debt > 3:
-            return
+            return None
         best = (-1.0, 1, 1)
         for a, b in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2)):
             n, x, y = 0, i + a, j + b
@@ -256,25 +340,137 @@ def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, s
                 best = (n - 0.1 * (a + b), a, b)
         i += best[1]
         j += best[2]
+    return q + step * j if i >= room_p else None
 
 
-def held_words(letters: bytes, line: np.ndarray, hits: list[tuple[int, int]], item: bytes, word: np.ndarray) -> np.ndarray:
-    """Which words of an item a page holds, from its verified windows (page letter, item letter).
+def held_words(page: PageLines, hits: list[tuple[int, int]], codes: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Which words of an item a page holds, from its verified windows (page letter, item letter): by the windows, and by each passage.
 
     Each window is followed to both sides to where its lines end or the texts
-    part.  A word is held if two thirds of its letters are matched.
+    part.  Then every line of the page that shares seeds with the item is laid
+    beside it, also from inside a word.  Lines make a passage where one goes on
+    in the item's order after another breaks off: at that letter or, if much of
+    it matches, up to a lost line further on.  A line alone that has no window
+    is no passage.  A word is held if two thirds of its letters are matched.
     """
+    item, letters = codes.tobytes(), page.letters
     matched = bytearray(len(item))
+    windows: dict[int, list[int]] = {}
+    laid: dict[tuple[int, int], tuple[int, list[tuple[int, int, int]], bytearray]] = {}
+
+    def follow(p: int, q: int, first: int, last: int, marks: bytearray) -> list[tuple[int, int, int]]:
+        before = _stretch(letters, p - 1, int(page.begin[first]) - 1, item, q - 1, -1, -1, marks)
+        after = _stretch(letters, p, int(page.begin[last + 1]), item, q, len(item), 1, marks)
+        # (1 after a line, -1 before it; line; item letter that is expected there)
+        return [(side, line, at) for side, line, at in ((-1, first, before), (1, last, after)) if at is not None]
+
+    def lay(p: int, q: int, line: int) -> tuple[int, list[tuple[int, int, int]], bytearray]:
+        """Letters matched without a gap beside those at a seed, the breaks that they reach, and the letters."""
+        if (p, q) in laid:
+            return laid[p, q]
+        marks = bytearray(len(item))
+        ends = follow(p, q, line, line, marks)
+        low = high = q
+        while (there := marks.rfind(1, max(0, low - MISREAD - 1), low)) >= 0:
+            low = there
+        while (there := marks.find(1, high + 1, high + MISREAD + 2)) >= 0:
+            high = there
+        n = marks.count(1, low, high + 1)
+        if n < READ * (high + 1 - low):
+            laid[p, q] = (0, [], marks)
+            return laid[p, q]
+        marks[:low], marks[high + 1 :] = bytes(low), bytes(len(item) - high - 1)
+        near = [x for x in ends if (low - 1 - x[2] if x[0] < 0 else x[2] - 1 - high) <= MISREAD]
+        laid[p, q] = (n, near, marks)
+        return laid[p, q]
+
+    def join(x: tuple[int, int, int], y: tuple[int, int, int], slack: int) -> bool:
+        """Whether the line that ends with one break goes on with the other."""
+        if x[0] == y[0]:
+            return False
+        end, start = (x, y) if x[0] > 0 else (y, x)
+        lines = start[1] - end[1]
+        return 0 < lines <= BETWEEN and -3 <= start[2] + 1 - end[2] <= (slack if lines <= LOST_WITHIN else 2)
+
+    # pieces of the passage: breaks, letters, and whether a piece counts alone
+    pieces: list[tuple[list[tuple[int, int, int]], bytearray, bool]] = []
+    spans = []
     for p, q in hits:
-        if all(matched[max(0, q - 6) : q + WINDOW + 6]):
-            continue
-        first = int(np.searchsorted(line, line[p], "left"))
-        last = int(np.searchsorted(line, line[min(p + WINDOW, len(line)) - 1], "right"))
-        _stretch(letters, p - 1, first - 1, item, q - 1, -1, -1, matched)
-        _stretch(letters, p, last, item, q, len(item), 1, matched)
+        windows.setdefault(int(page.line[p]), []).append(q - p)
+        if not all(matched[max(0, q - 6) : q + WINDOW + 6]):
+            marks = bytearray(len(item))
+            first, last = int(page.line[p]), int(page.line[min(p + WINDOW, len(letters)) - 1])
+            pieces.append((follow(p, q, first, last, marks), marks, True))
+            spans.append((first, last, marks.find(1) if 1 in marks else q, marks.rfind(1) if 1 in marks else q))
+            matched = either(matched, marks)
+    near: list[set[int]] = [set() for _ in pieces]
+
+    def link(a: int, b: int) -> None:
+        near[a].add(b)
+        near[b].add(a)
+
+    for a, x in enumerate(spans):
+        for b, y in enumerate(spans):
+            if a != b and x[0] <= y[0] <= x[1] + BETWEEN and x[2] <= y[2] <= x[3] + (LOST if y[0] <= x[1] + LOST_WITHIN else 3):
+                link(a, b)
+    found = page.seeds(codes)
+    runs = [matched]
+    if found is not None:
+        line, p, q, seeds = found
+        begin, end = page.begin[line], page.begin[line + 1]
+        start, stop = q - (p - begin), q + (end - p)
+        at_hand = set()
+        # lines of which much matches
+        for k in np.flatnonzero((seeds >= SEEDS) & (end - begin >= PLACED)).tolist():
+            own = (int(line[k]), int(q[k]) - int(p[k]))
+            if any((own[0], own[1] + x) in at_hand for x in (-3, -2, -1, 0, 1, 2, 3)):
+                continue
+            n, ends, marks = lay(int(p[k]), int(q[k]), own[0])
+            if n >= PLACED and n >= PART * (end[k] - begin[k]):
+                at_hand.add(own)
+                has = [a for a, (first, last, low, high) in enumerate(spans) if first <= own[0] <= last and any(abs(x - own[1]) <= 3 for x in windows.get(own[0], ()))]
+                pieces.append((ends, marks, bool(has)))
+                near.append(set())
+                for a in has:
+                    link(a, len(pieces) - 1)
+        placed = len(pieces)
+        for a in range(placed):
+            for b in range(a):
+                if any(join(x, y, LOST) for x in pieces[a][0] for y in pieces[b][0]):
+                    link(a, b)
+        # passages: pieces that hang together, and the short and badly read lines that they join
+        left = set(range(placed))
+        while left:
+            mine, todo = {(first := left.pop())}, [first]
+            while todo:
+                for b in near[todo.pop()] - mine:
+                    mine.add(b)
+                    todo.append(b)
+            left -= mine
+            if len(mine) == 1 and not pieces[first][2]:
+                continue
+            marks, new, tried = bytearray(len(item)), [x for a in mine for x in pieces[a][0]], set()
+            for a in mine:
+                marks = either(marks, pieces[a][1])
+            while new:
+                side, own, at = new.pop()
+                there = (line > own) & (line <= own + BETWEEN) & (abs(start - at) <= 2) if side > 0 else (line < own) & (line >= own - BETWEEN) & (abs(stop - 1 - at) <= 2)
+                for k in np.flatnonzero(there).tolist():
+                    if k in tried:
+                        continue
+                    tried.add(k)
+                    n, ends, got = lay(int(p[k]), int(q[k]), int(line[k]))
+                    if n >= min(PART * (end[k] - begin[k]), PLACED) and any(join((side, own, at), y, 2) for y in ends):
+                        marks = either(marks, got)
+                        new += ends
+            runs.append(marks)
     n = int(word[-1]) + 1
-    size, got = np.bincount(word, minlength=n), np.bincount(word, weights=np.frombuffer(matched, np.uint8), minlength=n)
-    return got * 3 >= size * 2
+    size = np.bincount(word, minlength=n)
+    return [np.bincount(word, weights=np.frombuffer(x, np.uint8), minlength=n) * 3 >= size * 2 for x in runs]
+
+
+def either(a: bytearray, b: bytearray) -> bytearray:
+    return bytearray((int.from_bytes(a) | int.from_bytes(b)).to_bytes(len(a)))
 
 
 def longest_run(held: np.ndarray, gap: int = 2, density: float = 0.88) -> int:
@@ -333,8 +529,11 @@ def leaked_items(
     not matter, and with signs that a scanner takes for each other made equal.
     Windows are embedded by CGK random walks and met with the items' windows
     by repeated sampling; candidates within ``EDITS`` edits are kept and
-    followed along the line to both sides, and the words they cover make up
-    the runs.  Lines of other columns or adverts between do not break a run.
+    followed along the line to both sides.  A page that two windows, or ``TIE``
+    letters of a line that few items have, tie to an item has all its lines laid beside that item
+    (see ``held_words``), so that narrow columns with foreign lines between
+    count as well, and the words covered make up the runs.  Lines of other
+    columns or adverts between do not break a run.
 
     The sentence with which all items open is left out of the search but
     counts among the words of an item.  Null or empty texts hold nothing, and

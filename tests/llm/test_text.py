@@ -82,6 +82,18 @@ def test_leaks_are_found_as_the_scan_left_them(spark):
     assert L.leaked_items(pages.where("false"), table).collect() == [] and L.leaked_items(pages, table.where("false")).collect() == []
 
 
+def test_leaks_in_narrow_columns_read_in_turn():
+    r = random.Random(21)
+    items = [(k, item(k)) for k in range(30)]
+    index = L.ItemIndex.of(items, len(OPENING.split()))
+    for width, noise in ((20, 0.0), (20, 0.03), (24, 0.03), (28, 0.05)):
+        body = [items[k][1][len(OPENING) :].split() for k in range(30)]
+        texts = [page(r, b[(at := r.randint(0, len(b) - 36)) : at + 36], width=width, columns=2, noise=noise) for b in body]
+        got = {(t, i) for t, i, run, held, words in index.leaks(texts) if run >= L.RUN_WORDS and held >= L.SHARE * (words + 9)}
+        assert sum((k, k) in got for k in range(30)) >= 27 and not {x for x in got if x[0] != x[1]}, (width, noise)
+    assert list(L.ItemIndex.of([(1, OPENING)], len(OPENING.split())).leaks(["some page", ""])) == []
+
+
 def test_sampling_reaches_its_recall():
     r = random.Random(12)
     hit = {0: 0, 1: 0, 2: 0}
