@@ -278,7 +278,7 @@ class ItemIndex:
                 page = (t, PageLines(pages.codes[begin:end], pages.line[begin:end]))
             pairs = list(zip((p[hits] - begin).tolist(), (q[hits] - lo).tolist(), strict=True))
             held = held_words(page[1], pairs, self.codes[lo:hi], self.word[lo:hi])
-            yield t, self.ids[o], max(map(longest_run, held)), int(np.any(held, axis=0).sum()), int(self.words[o])
+            yield t, self.ids[o], max(map(longest_run, held)), printed_words(held), int(self.words[o])
 
 
 class PageLines:
@@ -473,21 +473,38 @@ def either(a: bytearray, b: bytearray) -> bytearray:
     return bytearray((int.from_bytes(a) | int.from_bytes(b)).to_bytes(len(a)))
 
 
-def longest_run(held: np.ndarray, gap: int = 2, density: float = 0.88) -> int:
-    """Words of the longest run of an item: at most ``gap`` misread words between held ones, and ``density`` of all held."""
+def dense_runs(held: np.ndarray, gap: int = 2, density: float = 0.88) -> list[tuple[int, int]]:
+    """(first, last word) of the longest run in each part of an item: at most ``gap`` misread words between held ones, and ``density`` of all held."""
     at = np.flatnonzero(held)
-    best = 0
-    for cut in np.split(at, np.flatnonzero(np.diff(at) > gap + 1) + 1):
+    out = []
+    for cut in np.split(at, np.flatnonzero(np.diff(at) > gap + 1) + 1) if len(at) else []:
         # the longest stretch of the cut that is dense enough; both ends are held words
+        best, run = 0, (0, 0)
         for x in range(len(cut)):
-            for y in range(len(cut) - 1, x, -1):
+            for y in range(len(cut) - 1, x - 1, -1):
                 length = int(cut[y] - cut[x]) + 1
                 if length <= best:
                     break
                 if y - x + 1 >= density * length:
-                    best = length
+                    best, run = length, (int(cut[x]), int(cut[y]))
                     break
-    return max(best, int(len(at) > 0))
+        out.append(run)
+    return out
+
+
+def longest_run(held: np.ndarray, gap: int = 2, density: float = 0.88) -> int:
+    """Words of the longest run of an item."""
+    return max((last - first + 1 for first, last in dense_runs(held, gap, density)), default=0)
+
+
+def printed_words(held: list[np.ndarray], least: int = RUN_WORDS) -> int:
+    """Words that some passage holds, and the misread ones inside runs of ``least`` words."""
+    printed = np.any(held, axis=0)
+    for one in held:
+        for first, last in dense_runs(one):
+            if last - first + 1 >= least:
+                printed[first : last + 1] = True
+    return int(printed.sum())
 
 
 def _probe(index: ItemIndex, run: int, share: float, opening: int):
@@ -532,7 +549,8 @@ def leaked_items(
     followed along the line to both sides.  A page that two windows, or ``TIE``
     letters of a line that few items have, tie to an item has all its lines laid beside that item
     (see ``held_words``), so that narrow columns with foreign lines between
-    count as well, and the words covered make up the runs.  Lines of other
+    count as well, and the words covered make up the runs.  ``held`` counts the
+    misread words inside a run too.  Lines of other
     columns or adverts between do not break a run.
 
     The sentence with which all items open is left out of the search but

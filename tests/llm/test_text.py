@@ -138,6 +138,20 @@ def test_runs():
     assert L.common_opening("One. Two", "One. Three") == 1 and L.common_opening("One. Two", "Other. Two") == 0 and L.common_opening(None, None) == 0
 
 
+def test_misread_words_inside_a_run_count_for_the_share():
+    held = np.zeros(91, bool)
+    held[10:36] = True
+    held[[15, 28]] = False
+    assert L.longest_run(held) == 26 and L.printed_words([held]) == 26
+    words = "the tidal bellows a husk is brittle near every slender pendulum because colder basalt scatters glossy feathers while saline aquifer a prism pierces layered furnace meadow".split()
+    text = f"{OPENING} " + " ".join(words) + " " + " ".join(item(77, 65).split()[9:74])
+    index = L.ItemIndex.of([(1, text)], 9)
+    whole = len(text.split())
+    short = [("x" if w in ("a", "is") else w) for w in words]
+    ((_, _, run, printed, n),) = index.leaks([" ".join(filler(random.Random(1), 40) + short + ["monday"] * 9)])
+    assert n + 9 == whole and run == 26 and printed == 26
+
+
 def test_tokens(spark):
     texts = ["The parish council's 1,200 votes.", "", None, "Fähre " * 70_000, "naïve\n\n  text"]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
