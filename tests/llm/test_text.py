@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phasewright.llm import leakage as L
 from phasewright.llm.mixing import _encoding, chance, count_tokens, mix_sources, repetition_rates, source_label, tokenizer_file
-from phasewright.llm.spam import kind_of, page_features, score_pages, spam_pages
+from phasewright.llm.spam import Tokens, Words, features, kind_of, score_pages, spam_pages
 
 NOUNS = "gill basalt glacier cable sediment fossil bellows aquifer thorn husk feather lattice rotor furnace pendulum tide meadow prism pollen gully anther vine".split()
 ADJECTIVES = "gritty porous dense tidal layered saline glossy jagged slender colder acidic fibrous shallow fragile waxy coiled".split()
@@ -193,22 +193,62 @@ def test_mixture(spark):
     assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
 
 
-PROSE = "The council of the town has said that the school near the river was closed by order of the mayor until Friday and that it will be opened again in the spring.\n"
 LINKS = "www.boots24-shop.example/?id=12&tag=boots\nhttps://boots24-shop.example/boots-3.html\nbest boots\nshop.lamps.invalid/lamps-9.html\n"
 TAGS = "cat:boots; colour:lamps; SKU 12345 size:boots;\n#boots #lamps #boots #seeds SKU 99887\noutlet-boots, best-lamps, outlet-seeds,\n"
 STUFFED = "best boots Falford, best boots Yarmoor, boots in Zelfell,\nBOOTS boots Corbane boots, sale boots >>\nfree * boots * lamps * free * boots *\n"
-TIDES = "Monday 7.06 a.m. 9.29 p.m.\nTuesday 1.48 a.m. 1.12 p.m.\n"
-ADVERTS = "WANTED A steady fire for the library trade; good wages; write to Zelkingle.\nYARVIRROW'S COTTAGE Best in Ulvhaven. Price 28. Apply early.\n"
+SYLLABLES = "mor tal ven sur pel lim gro das ta ken lo ris mu ber ni sol wa fen quin dro hask lu vor tep il".split()
+FRAMES = {
+    "en": "the {} of the {} was {} by a {} and it has been said that the {} will be {} on the {} because of the {}",
+    "de": "die {} und der {} wurde von dem {} nicht {} und man sagt daß die {} aus der {} mit dem {} nach {} zu {} ist",
+}
+
+
+def prose(r, language, n):
+    """About ``n`` words of sentences, in the frame of a language."""
+    out = []
+    while len(out) < n:
+        out += FRAMES[language].format(*[r.choice(SYLLABLES) + r.choice(SYLLABLES) + language for _ in range(9)]).split() + [".\n"]
+    return " ".join(out)
+
+
+def odd_page(r, k):
+    """Newspaper matter that is not, or not only, sentences: tides, prices, adverts and hymns."""
+    name, noun = lambda: r.choice(SYLLABLES).title() + r.choice(SYLLABLES), lambda: r.choice(SYLLABLES) + r.choice(SYLLABLES)
+    if k % 4 == 0:
+        return "".join(f"{r.choice(['Monday', 'Tuesday', 'Friday'])} {r.randint(1, 12)}.{r.randint(10, 59)} a.m. {r.randint(1, 12)}.{r.randint(10, 59)} p.m.\n" for _ in range(40))
+    if k % 4 == 1:
+        return "".join(f"{noun()}, per cwt., {r.randint(10, 99)}s. {r.randint(1, 11)}d. to {r.randint(10, 99)}s.\n" for _ in range(40))
+    if k % 4 == 2:
+        return "".join(f"{name()} & SON, {name()}. Price {r.randint(2, 99)}. WANTED a {noun()} hand for the {noun()} of {name()}; write to {name()}, with a {noun()} by the {noun()}.\n" for _ in range(15))
+    line = prose(r, "en", 40)
+    return "".join(prose(r, "en", 20) + line for _ in range(6))
 
 
 def test_spam(spark):
-    bad = [LINKS * 8, TAGS * 8, STUFFED * 8, (LINKS + TAGS + STUFFED) * 3, PROSE * 3 + STUFFED * 7]
-    good = [PROSE * 9, TIDES * 20, ADVERTS * 9, PROSE * 9 + TAGS * 2, PROSE * 30 + STUFFED * 3]
-    rows = [(k, t, "EN", 0.1) for k, t in enumerate(bad + good)] + [(100 + k, PROSE * (3 + k % 5) + ADVERTS * (k % 2), ["en", "de", None][k % 3], 0.2) for k in range(150)]
-    rows += [(300, None, "en", 0.0), (301, "", "fr", 0.0), (302, "' |\n--", None, 0.0), (303, PROSE * 4000, "en", 0.0), (304, LINKS * 4000, None, 0.0)]
-    pages = spark.createDataFrame(rows, "doc_id long, text string, lang string, distance double")
-    assert {r.doc_id for r in spam_pages(pages).collect()} == set(range(len(bad))) | {304}
-    scores = {r.doc_id: r for r in score_pages(pages).collect()}
-    assert scores[300].words == 0 and scores[0].density > 0.9 and scores[6].density < 0.3
+    r = random.Random(31)
+    bad = [LINKS * 8, TAGS * 8, STUFFED * 8, (LINKS + TAGS + STUFFED) * 3, prose(r, "en", 60) + STUFFED * 7, prose(r, "de", 90) + TAGS * 12]
+    good = [prose(r, "en", 260) + TAGS * 3, prose(r, "en", 700) + STUFFED * 5, prose(r, "de", 300) + LINKS * 4, *[odd_page(r, k) for k in range(12)]]
+    rows = [(k, t, "EN" if k % 2 else None, 0.1) for k, t in enumerate(bad + good)]
+    rows += [(100 + k, prose(r, "de" if k % 5 == 0 else "en", r.randint(80, 400)) + (odd_page(r, k) if k % 7 == 0 else ""), [None, "und"][k % 20] if k % 20 < 2 else "de" if k % 5 == 0 else "en", 0.2) for k in range(400)]
+    rows += [(900, None, "en", 0.0), (901, "", "fr", 0.0), (902, "' |\n--", None, 0.0), (903, prose(r, "en", 60_000), "en", 0.0), (904, LINKS * 4000, None, 0.0), (905, " \n", "de", 0.0)]
+    schema = "doc_id long, text string, lang string, distance double"
+    want = set(range(len(bad))) | {904}
+    pages = spark.createDataFrame(rows, schema)
+    assert {x.doc_id for x in spam_pages(pages).collect()} == want
+    scores = {x.doc_id: x for x in score_pages(pages).collect()}
+    assert len(scores) == len(rows) and scores[900].words == 0 and not scores[900].spam and scores[101].language == "en" and scores[100].language == "de"
+    assert scores[0].towards > 0.8 and scores[0].distance > scores[6].distance > 18.47 and scores[6].towards < 0.5  # an outlier too, but not half way
+    # copies of a page of a small language hold a third of all rows and more
+    copies = spark.createDataFrame(rows + [(2000 + k, TAGS * 8, "de", 0.0) for k in range(300)], schema)
+    assert {x.doc_id for x in spam_pages(copies).collect()} == want | set(range(2000, 2300))
+    assert spam_pages(pages.where("doc_id BETWEEN 100 AND 500"), label=None).collect() == []  # nothing shows what spam is
     assert spam_pages(pages.where("false")).collect() == []
-    assert page_features(None)[0] == 0 and kind_of("SKU") == kind_of("sku")
+
+
+def test_kinds_of_tokens():
+    from phasewright.llm.spam import JOINED, MARK, NUMBER, WORD
+
+    kinds = {"Boots,": WORD, "co-op": WORD, "don't": WORD, "1s.": NUMBER, "4.30": NUMBER, ">>": MARK, "cat:boots;": JOINED, "#boots": JOINED, "shop.lamps.test": JOINED, "a.m.": WORD, "b00ts": WORD, "": MARK}
+    assert {t: kind_of(t)[0] for t in kinds if t} == {t: k for t, k in kinds.items() if t}
+    words = Words({"en": {"the", "of"}, "de": {"die"}})
+    assert features([None, "", "the the of"], Tokens(words))[2][:2] == (3, "en") and features(["x", None], Tokens(Words({})))[0][1] == ""
