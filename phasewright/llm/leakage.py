@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 WINDOW = 22
 #: Steps of a random walk; a walk takes two steps a letter on average.
 STEPS = 2 * WINDOW
-#: Walks, samples of each walk, and letters of a sample: repeated so that a window with two misreadings is met in 9 of 10 cases.
-WALKS, SAMPLES, TAKEN = 3, 3, 11
-#: Most edits between a window of a page and one of an item.
+#: Walks, samples of each walk, and letters of a sample, so that a window is met in 9 of 10 cases if it has ``RADIUS`` edits (with
+#: two in 7 of 10, with three in 4 or 5 of 10); a passage has a window at every word and is tied by two of them.
+WALKS, SAMPLES, TAKEN, RADIUS = 3, 3, 11, 1
+#: Most edits between a window of a page and one of an item that are verified.
 EDITS = 3
 #: A case holds so many successive words of an item, and such a share of its words.
 RUN_WORDS, SHARE = 16, 0.25
@@ -25,6 +27,10 @@ TIE, RARE = 12, 4
 #: Letters of the seeds by which lines are laid beside an item; seeds that make a line worth following; matched letters, and share of
 #: the line's, that place it; lines from one to the next of a passage; letters lost if one cannot be read, and lines within which that is.
 GRAM, SEEDS, PLACED, PART, BETWEEN, LOST, LOST_WITHIN = 5, 4, 12, 0.6, 24, 24, 8
+#: Seeds that make a line count; letters that such seeds must cover in some stretch of an item; the stretch, and pairs looked at together.
+LEAST_SEEDS, SEEN, STRETCH, PAIRS = 3, 32, 64, 2000
+#: Share of the words of a run that are held.
+DENSITY = 0.88
 #: Share of the letters of a line's stretch that are matched, and most that are misread one after the other: another word is no misreading.
 READ, MISREAD = 0.75, 3
 #: Windows and letters worked on at a time, and windows that stay in a processor's cache.
@@ -37,34 +43,55 @@ SEED = 20240229
 _SAME = {"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "9": "g", "(": "c", "|": "l", "ſ": "s", "ß": "b"}
 _CLASS = {"c": "o", "e": "o", "o": "o", "i": "l", "l": "l", "j": "l", "t": "l", "f": "l", "u": "n", "n": "n", "h": "h", "b": "h", "g": "g", "q": "g"}
 _GROUPS = [(b"rn", b"m"), (b"vv", b"w"), (b"ol", b"d"), (b"ln", b"m")]
-_ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüý", "aaaaaaceeeeiiiinooooouuuuy", strict=True))
 
 
-def _table() -> bytes:
-    """For each Latin-1 sign its class as a letter, a line break as itself, and a blank for all else."""
-    out = bytearray(b" " * 256)
-    for code in range(256):
-        sign = chr(code).lower()
-        sign = _SAME.get(sign, _ACCENTS.get(sign, sign))
-        if "a" <= sign <= "z" and len(sign) == 1:
-            out[code] = ord(_CLASS.get(sign, sign))
+#: Codes of letters of other scripts, and of signs that are words of their own (scripts without blanks between words).
+OTHER, ALONE = 128, 224
+
+
+def _table() -> np.ndarray:
+    """For each sign of the basic plane its class as a letter, a line break as itself, and a blank for all that is no letter or digit."""
+    out = np.full(1 << 16, 32, np.uint8)
+    for code in range(1 << 16):
+        sign = chr(code)
+        if not sign.isalnum():
+            continue
+        sign = sign.lower()[0]
+        sign = _SAME.get(sign, sign)
+        bare = sign if sign < "\x80" else unicodedata.normalize("NFKD", sign)[0]  # without its accents
+        if bare < "\x80" and bare.isalnum():
+            out[code] = ord(_CLASS.get(bare, bare))
+        elif 0x3040 <= code < 0xA000 or 0xF900 <= code < 0xFB00:
+            out[code] = ALONE + code * 7 % 32
+        else:
+            out[code] = OTHER + code * 37 % (ALONE - OTHER)
+    for sign, one in _SAME.items():
+        out[ord(sign)] = ord(_CLASS.get(one, one))
     out[10] = 10
-    return bytes(out)
+    return out
 
 
 _TABLE = _table()
+_LATIN = _TABLE[:256].tobytes()
 
 
 def canonical(text: str) -> bytes:
-    """The text as the scanner could not have told it apart: letter classes, blanks and line breaks."""
-    raw = text.replace("ſ", "s").encode("latin-1", "replace").translate(_TABLE)
+    """The text as the scanner could not have told it apart: letter classes, blanks and line breaks.
+
+    Letters of other scripts keep a class of their own, out of about a
+    hundred; a sign of a script without blanks is a word.
+    """
+    try:
+        raw = text.replace("ſ", "s").encode("latin-1").translate(_LATIN)
+    except UnicodeEncodeError:
+        raw = _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)].tobytes()
     for group, one in _GROUPS:
         raw = raw.replace(group, one)
     return raw
 
 
 class Letters:
-    """Letters of some texts without anything between them, with the word and the line each belongs to.
+    """Letters of some texts without anything between them, with the word and the line each belongs to; lines without letters don't count.
 
     ``ends`` has the number of letters up to the end of each text.
     """
@@ -74,10 +101,11 @@ class Letters:
         raw = np.frombuffer(b"\n".join(parts), np.uint8)
         is_letter = raw > 32
         first = is_letter.copy()
-        first[1:] &= ~is_letter[:-1]
+        first[1:] &= ~is_letter[:-1] | (raw[1:] >= ALONE)
         self.codes = raw[is_letter]
         self.word = np.cumsum(first, dtype=np.int32)[is_letter] - 1
-        self.line = np.cumsum(raw == 10, dtype=np.int32)[is_letter]
+        line = np.cumsum(raw == 10, dtype=np.int32)[is_letter]
+        self.line = np.cumsum(np.concatenate(([False], line[1:] != line[:-1]))[: len(line)], dtype=np.int32)
         self.starts = np.flatnonzero(first[is_letter])
         upto = np.concatenate(([0], np.cumsum(is_letter)))
         self.ends = upto[np.minimum(np.cumsum([len(x) + 1 for x in parts]), len(raw))] if parts else np.empty(0, np.int64)
@@ -96,9 +124,9 @@ def grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
 def _walks() -> tuple[np.ndarray, np.ndarray]:
     """The random bits of the walks, the same for all texts, and the steps that each sample takes."""
     rng = np.random.default_rng(SEED)
-    moves = rng.integers(0, 2, (WALKS, STEPS, 128), dtype=np.int64)
+    moves = rng.integers(0, 2, (WALKS, STEPS, OTHER), dtype=np.int64)
     taken = np.stack([np.sort(rng.choice(STEPS - 6, TAKEN, replace=False)) for _ in range(WALKS * SAMPLES)])
-    return moves, taken
+    return np.concatenate((moves, rng.integers(0, 2, (WALKS, STEPS, 256 - OTHER), dtype=np.int64)), 2), taken
 
 
 _MOVES, _TAKEN = _walks()
@@ -264,53 +292,89 @@ class ItemIndex:
         text, owner = np.searchsorted(pages.ends, p, "right"), self.owner[w]
         by = np.lexsort((p, owner, text))
         p, q = p[by], self.start[w[by]]
-        key = text[by] * np.int64(len(self.ids)) + owner[by]
-        page = None
+        many = np.int64(len(self.ids))
+        key = text[by] * many + owner[by]
         # two windows at different places, or letters that few items have
         pair, first = np.unique(key, return_index=True)
         apart = np.maximum.reduceat(q, first) - np.minimum.reduceat(q, first) >= WINDOW // 2 if len(q) else np.zeros(0, bool)
-        for both in np.union1d(pair[apart], also * np.int64(len(self.ids)) + of).tolist():
+        pairs = np.union1d(pair[apart], also * many + of)
+        page = None
+        for both, found in zip(pairs.tolist(), self.seeds(pages, pairs), strict=True):
             t, o = divmod(both, len(self.ids))
             hits = slice(*np.searchsorted(key, (both, both + 1)))
+            if found is None:
+                continue
             lo, hi = int(self.ends[o - 1]) if o else 0, int(self.ends[o])
             begin, end = int(pages.ends[t - 1]) if t else 0, int(pages.ends[t])
             if page is None or page[0] != t:
                 page = (t, PageLines(pages.codes[begin:end], pages.line[begin:end]))
-            pairs = list(zip((p[hits] - begin).tolist(), (q[hits] - lo).tolist(), strict=True))
-            held = held_words(page[1], pairs, self.codes[lo:hi], self.word[lo:hi])
-            yield t, self.ids[o], max(map(longest_run, held)), printed_words(held), int(self.words[o])
+            held = held_words(page[1], list(zip((p[hits] - begin).tolist(), (q[hits] - lo).tolist(), strict=True)), found, self.codes[lo:hi], self.word[lo:hi])
+            if max(int(x.sum()) for x in held) >= DENSITY * RUN_WORDS:  # no run of that many words has fewer
+                yield t, self.ids[o], max(map(longest_run, held)), printed_words(held), int(self.words[o])
+
+    def seeds(self, pages: Letters, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+        """For each pair of a text and an item: (line, page letter, item letter, seeds) for the seeds that a line and the item share.
+
+        There is one for each line and shift between the two.  None where no
+        ``STRETCH`` letters of the item, less than ``RUN_WORDS`` words have, are covered by ``SEEN``.
+        """
+        many = np.int64(len(self.ids))
+        t, o = pairs // many, pairs % many
+        begin = np.concatenate(([0], pages.ends[:-1]))
+        wanted = np.zeros(len(pages.ends), bool)
+        wanted[t] = True
+        number = grams(pages.codes)
+        text = np.searchsorted(pages.ends, np.arange(len(number)), "right")
+        at = np.flatnonzero(wanted[text] & (pages.line[: len(number)] == pages.line[GRAM - 1 :])) if len(number) else np.empty(0, np.int64)
+        own = (text[at] << 5 * GRAM) + number[at]
+        by = np.argsort(own, kind="stable")
+        own, at = own[by], at[by]
+        lo = np.concatenate(([0], self.ends[:-1]))
+        letters = np.maximum(self.ends - lo - GRAM + 1, 0)
+        theirs = grams(self.codes)
+        for part in range(0, len(pairs), PAIRS):
+            tp, op = t[part : part + PAIRS], o[part : part + PAIRS]
+            size = letters[op]
+            which = np.repeat(np.arange(len(tp)), size)
+            q = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            sought = (tp[which] << 5 * GRAM) + theirs[lo[op][which] + q]
+            low, high = np.searchsorted(own, sought, "left"), np.searchsorted(own, sought, "right")
+            n = high - low
+            p = at[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            which, q = np.repeat(which, n), np.repeat(q, n)
+            line = pages.line[p].astype(np.int64)
+            p = p - begin[tp[which]]
+            # an edit shifts the rest of a line by one: neighbouring shifts support each other
+            span = np.int64((p.max(initial=0) + q.max(initial=0) + 8) * 2)
+            first_line, lines = int(line.min(initial=0)), np.int64(line.max(initial=0) - line.min(initial=0) + 1)
+            place = (which * lines + line - first_line) * span + (q - p + span // 2)
+            spot, first, back, count = np.unique(place, return_index=True, return_inverse=True, return_counts=True)
+            upto = np.concatenate(([0], np.cumsum(count)))
+            near = upto[np.searchsorted(spot, spot + 3, "right")] - upto[np.searchsorted(spot, spot - 3, "left")]
+            # item letters that good seeds cover, and the most of them in any stretch
+            room = size + 2 * GRAM
+            base = np.cumsum(room) - room
+            good = near[back] >= LEAST_SEEDS
+            mark = base[which[good]] + q[good]
+            total = int(room.sum())
+            cover = np.cumsum(np.bincount(mark, minlength=total + 1) - np.bincount(mark + GRAM, minlength=total + 1)[: total + 1]) > 0
+            upto = np.concatenate(([0], np.cumsum(cover)))
+            inside = upto[np.minimum(np.arange(total) + STRETCH, np.repeat(base + room, room))] - upto[:total]
+            seen = np.maximum.reduceat(inside, base) if len(tp) else np.empty(0, np.int64)
+            which, line, p, q = which[first], line[first], p[first], q[first]
+            ends = np.searchsorted(which, np.arange(len(tp) + 1))
+            for k in range(len(tp)):
+                here = slice(ends[k], ends[k + 1])
+                yield (line[here] - pages.line[begin[tp[k]]], p[here], q[here], near[here]) if seen[k] >= SEEN else None
 
 
 class PageLines:
-    """The letters of one page, the line of each, where each line begins, and the seeds that lie within a line, sorted."""
+    """The letters of one page, the line of each, and where each line begins."""
 
     def __init__(self, codes: np.ndarray, line: np.ndarray):
         self.letters = codes.tobytes()
-        first = np.concatenate(([True], line[1:] != line[:-1]))
-        self.line = np.cumsum(first) - 1
-        self.begin = np.concatenate((np.flatnonzero(first), [len(codes)]))
-        number = grams(codes)
-        at = np.flatnonzero(self.line[: len(number)] == self.line[GRAM - 1 :]) if len(number) else np.empty(0, np.int64)
-        by = np.argsort(number[at], kind="stable")
-        self.seed, self.at = number[at][by], at[by]
-
-    def seeds(self, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(line, page letter, item letter, seeds) for the seeds that a line and an item share, one for each line and shift between the two."""
-        number = grams(item)
-        lo, hi = np.searchsorted(self.seed, number, "left"), np.searchsorted(self.seed, number, "right")
-        n = hi - lo
-        if not n.any():
-            return None
-        q = np.repeat(np.arange(len(number)), n)
-        p = self.at[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        line = self.line[p]
-        # an edit shifts the rest of a line by one: neighbouring shifts support each other
-        span = np.int64(len(item) + len(self.letters) + 8)
-        key = line * (2 * span) + (q - p + span)
-        own, first, count = np.unique(key, return_index=True, return_counts=True)
-        upto = np.concatenate(([0], np.cumsum(count)))
-        near = upto[np.searchsorted(own, own + 3, "right")] - upto[np.searchsorted(own, own - 3, "left")]
-        return line[first], p[first], q[first], near
+        self.line = line - line[:1]
+        self.begin = np.searchsorted(self.line, np.arange(int(self.line[-1:].sum()) + 2))
 
 
 def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, step: int, matched: bytearray) -> int | None:
@@ -343,8 +407,8 @@ def _stretch(page: bytes, p: int, p_end: int, item: bytes, q: int, q_end: int, s
     return q + step * j if i >= room_p else None
 
 
-def held_words(page: PageLines, hits: list[tuple[int, int]], codes: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-    """Which words of an item a page holds, from its verified windows (page letter, item letter): by the windows, and by each passage.
+def held_words(page: PageLines, hits: list[tuple[int, int]], found: tuple, codes: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Which words of an item a page holds, from its verified windows (page letter, item letter) and the seeds ``found``: by the windows, and by each passage.
 
     Each window is followed to both sides to where its lines end or the texts
     part.  Then every line of the page that shares seeds with the item is laid
@@ -413,57 +477,55 @@ def held_words(page: PageLines, hits: list[tuple[int, int]], codes: np.ndarray,
         for b, y in enumerate(spans):
             if a != b and x[0] <= y[0] <= x[1] + BETWEEN and x[2] <= y[2] <= x[3] + (LOST if y[0] <= x[1] + LOST_WITHIN else 3):
                 link(a, b)
-    found = page.seeds(codes)
     runs = [matched]
-    if found is not None:
-        line, p, q, seeds = found
-        begin, end = page.begin[line], page.begin[line + 1]
-        start, stop = q - (p - begin), q + (end - p)
-        at_hand = set()
-        # lines of which much matches
-        for k in np.flatnonzero((seeds >= SEEDS) & (end - begin >= PLACED)).tolist():
-            own = (int(line[k]), int(q[k]) - int(p[k]))
-            if any((own[0], own[1] + x) in at_hand for x in (-3, -2, -1, 0, 1, 2, 3)):
-                continue
-            n, ends, marks = lay(int(p[k]), int(q[k]), own[0])
-            if n >= PLACED and n >= PART * (end[k] - begin[k]):
-                at_hand.add(own)
-                has = [a for a, (first, last, low, high) in enumerate(spans) if first <= own[0] <= last and any(abs(x - own[1]) <= 3 for x in windows.get(own[0], ()))]
-                pieces.append((ends, marks, bool(has)))
-                near.append(set())
-                for a in has:
-                    link(a, len(pieces) - 1)
-        placed = len(pieces)
-        for a in range(placed):
-            for b in range(a):
-                if any(join(x, y, LOST) for x in pieces[a][0] for y in pieces[b][0]):
-                    link(a, b)
-        # passages: pieces that hang together, and the short and badly read lines that they join
-        left = set(range(placed))
-        while left:
-            mine, todo = {(first := left.pop())}, [first]
-            while todo:
-                for b in near[todo.pop()] - mine:
-                    mine.add(b)
-                    todo.append(b)
-            left -= mine
-            if len(mine) == 1 and not pieces[first][2]:
-                continue
-            marks, new, tried = bytearray(len(item)), [x for a in mine for x in pieces[a][0]], set()
-            for a in mine:
-                marks = either(marks, pieces[a][1])
-            while new:
-                side, own, at = new.pop()
-                there = (line > own) & (line <= own + BETWEEN) & (abs(start - at) <= 2) if side > 0 else (line < own) & (line >= own - BETWEEN) & (abs(stop - 1 - at) <= 2)
-                for k in np.flatnonzero(there).tolist():
-                    if k in tried:
-                        continue
-                    tried.add(k)
-                    n, ends, got = lay(int(p[k]), int(q[k]), int(line[k]))
-                    if n >= min(PART * (end[k] - begin[k]), PLACED) and any(join((side, own, at), y, 2) for y in ends):
-                        marks = either(marks, got)
-                        new += ends
-            runs.append(marks)
+    line, p, q, seeds = found
+    begin, end = page.begin[line], page.begin[line + 1]
+    start, stop = q - (p - begin), q + (end - p)
+    at_hand = set()
+    # lines of which much matches
+    for k in np.flatnonzero((seeds >= SEEDS) & (end - begin >= PLACED)).tolist():
+        own = (int(line[k]), int(q[k]) - int(p[k]))
+        if any((own[0], own[1] + x) in at_hand for x in (-3, -2, -1, 0, 1, 2, 3)):
+            continue
+        n, ends, marks = lay(int(p[k]), int(q[k]), own[0])
+        if n >= PLACED and n >= PART * (end[k] - begin[k]):
+            at_hand.add(own)
+            has = [a for a, (first, last, low, high) in enumerate(spans) if first <= own[0] <= last and any(abs(x - own[1]) <= 3 for x in windows.get(own[0], ()))]
+            pieces.append((ends, marks, bool(has)))
+            near.append(set())
+            for a in has:
+                link(a, len(pieces) - 1)
+    placed = len(pieces)
+    for a in range(placed):
+        for b in range(a):
+            if any(join(x, y, LOST) for x in pieces[a][0] for y in pieces[b][0]):
+                link(a, b)
+    # passages: pieces that hang together, and the short and badly read lines that they join
+    left = set(range(placed))
+    while left:
+        mine, todo = {(first := left.pop())}, [first]
+        while todo:
+            for b in near[todo.pop()] - mine:
+                mine.add(b)
+                todo.append(b)
+        left -= mine
+        if len(mine) == 1 and not pieces[first][2]:
+            continue
+        marks, new, tried = bytearray(len(item)), [x for a in mine for x in pieces[a][0]], set()
+        for a in mine:
+            marks = either(marks, pieces[a][1])
+        while new:
+            side, own, at = new.pop()
+            there = (line > own) & (line <= own + BETWEEN) & (abs(start - at) <= 2) if side > 0 else (line < own) & (line >= own - BETWEEN) & (abs(stop - 1 - at) <= 2)
+            for k in np.flatnonzero(there).tolist():
+                if k in tried:
+                    continue
+                tried.add(k)
+                n, ends, got = lay(int(p[k]), int(q[k]), int(line[k]))
+                if n >= min(PART * (end[k] - begin[k]), PLACED) and any(join((side, own, at), y, 2) for y in ends):
+                    marks = either(marks, got)
+                    new += ends
+        runs.append(marks)
     n = int(word[-1]) + 1
     size = np.bincount(word, minlength=n)
     return [np.bincount(word, weights=np.frombuffer(x, np.uint8), minlength=n) * 3 >= size * 2 for x in runs]
@@ -473,7 +535,7 @@ def either(a: bytearray, b: bytearray) -> bytearray:
     return bytearray((int.from_bytes(a) | int.from_bytes(b)).to_bytes(len(a)))
 
 
-def dense_runs(held: np.ndarray, gap: int = 2, density: float = 0.88) -> list[tuple[int, int]]:
+def dense_runs(held: np.ndarray, gap: int = 2, density: float = DENSITY) -> list[tuple[int, int]]:
     """(first, last word) of the longest run in each part of an item: at most ``gap`` misread words between held ones, and ``density`` of all held."""
     at = np.flatnonzero(held)
     out = []
@@ -492,7 +554,7 @@ def dense_runs(held: np.ndarray, gap: int = 2, density: float = 0.88) -> list[tu
     return out
 
 
-def longest_run(held: np.ndarray, gap: int = 2, density: float = 0.88) -> int:
+def longest_run(held: np.ndarray, gap: int = 2, density: float = DENSITY) -> int:
     """Words of the longest run of an item."""
     return max((last - first + 1 for first, last in dense_runs(held, gap, density)), default=0)
 
