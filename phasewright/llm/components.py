@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,31 +22,39 @@ def group_links(links: DataFrame, scope: str, a: str, b: str) -> DataFrame:
 
     Hash-to-min: every vertex keeps a cluster of ids, at first itself and its
     neighbours; in each round it sends its cluster to the smallest id in it and
-    that smallest id to all others, until nothing changes.  Clusters are kept
-    as rows (vertex, member), so that no cluster has to fit in a task; the
-    minimum per vertex is combined before it is shuffled.  A vertex with many
-    members is split by the skew join when it meets its minimum.
+    that smallest id to all others.  Clusters are kept as rows (vertex, member),
+    so that no cluster has to fit in a task; the minimum per vertex is combined
+    before it is shuffled.  A vertex with many members is split by the skew
+    join when it meets its minimum.
+
+    Settled groups leave.  A vertex that knows nobody but its minimum sends
+    nothing, as the minimum keeps it; one that knows others too marks what it
+    sends.  A minimum that got no marked row knows its whole group, and every
+    member of it knows only the minimum: its rows are the result and take no
+    part in further rounds, which end when no rows are left.
     """
     s, v, m = F.col("s"), F.col("v"), F.col("m")
     base = links.select(F.col(scope).alias("s"), F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     pair = lambda i, j: F.struct(F.col(i).alias("v"), F.col(j).alias("m"))
     rows = base.select("s", F.explode(F.array(pair("x", "x"), pair("y", "y"), pair("x", "y"), pair("y", "x"))).alias("p"))
-    rows = rows.select("s", "p.v", "p.m").where("v IS NOT NULL AND m IS NOT NULL").distinct()
-    stats = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("s", "v", "m"))}
-    state = keep(rows, **stats)
+    rows = rows.select("s", "p.v", "p.m").where("v IS NOT NULL AND m IS NOT NULL").distinct().withColumn("marked", v != m)
+    state = keep(rows, n=F.count(F.lit(1)))
+    done: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        low = state.df.groupBy("s", "v").agg(F.min("m").alias("low"))
-        met = state.df.alias("c").join(low.alias("l"), F.col("c.s").eqNullSafe(F.col("l.s")) & (F.col("c.v") == F.col("l.v")))
-        met = met.select(F.col("c.s").alias("s"), F.col("l.low").alias("low"), F.col("c.m").alias("m"))
-        sent = met.select(
-            "s", F.explode(F.array(F.struct(F.col("low").alias("v"), F.col("m").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("p")
-        )
-        after = keep(sent.select("s", "p.v", "p.m").distinct(), **stats)
-        done = after.stats == state.stats
+        if not state.stats["n"]:
+            out = functools.reduce(DataFrame.unionByName, done, state.df.select("s", "v", "m"))
+            return out.select(s.alias(scope), m.alias("member_id"), v.alias("group_id"))
+        of = state.df.groupBy("s", "v").agg(F.min(m).alias("low"), F.max(F.when(m != v, m)).alias("high"), F.max("marked").alias("told"))
+        met = state.df.drop("marked").alias("c").join(of.alias("l"), F.col("c.s").eqNullSafe(F.col("l.s")) & (F.col("c.v") == F.col("l.v")))
+        met = met.select(F.col("c.s").alias("s"), F.col("c.v").alias("v"), "m", F.least("low", F.col("c.v")).alias("low"), "high", "told")
+        is_low = v == F.col("low")
+        met = keep(met.where(is_low | (F.col("high") != F.col("low"))).withColumn("settled", is_low & ~F.col("told"))).df
+        done.append(met.where("settled").select("s", "v", "m"))
+        low = F.col("low")
+        sent = met.where("NOT settled").select("s", (~is_low).alias("marked"), F.explode(F.array(F.struct(low.alias("v"), m.alias("m")), F.struct(m.alias("v"), low.alias("m")))).alias("p"))
+        after = keep(sent.select("s", "p.v", "p.m", "marked").groupBy("s", "v", "m").agg(F.max("marked").alias("marked")), n=F.count(F.lit(1)))
         state.drop()
         state = after
-        if done:
-            return state.df.groupBy(s, v).agg(F.min(m).alias("group_id")).select(s.alias(scope), v.alias("member_id"), "group_id")
     raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
 
 
