@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasewright.operators.graph import split_graph
+from phasewright.operators.chain import by_component
+from phasewright.operators.graph import numbered_within, split_graph, weak_components
 from phasewright.operators.kmers import similarities, sketches
 from phasewright.plans.tables import keep
 
-#: Most split edges of one graph file that a task takes on.
-MAX_EDGES = 20_000_000
-BUBBLE = "graph_id long, emit_seq long, source long, sink long, branch_a array<long>, branch_b array<long>"
-
 
 def _ranks(n: int, start: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Rank of each vertex in the reverse post-order of a depth-first search with ascending roots; every vertex has one."""
@@ -109,24 +108,35 @@ def superbubbles(edges: DataFrame) -> DataFrame:
 
     A bubble is found on both strands of the split graph; only the first of
     those with the same two ends and members is kept.  ``branch_b`` is empty
-    where there are more than two branches.  A graph file is one group, as the
-    depth-first order runs through all of it; one of more than ``MAX_EDGES``
-    edges is refused rather than risked.
-    """
+    where there are more than two branches.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_EDGES:
-            raise ValueError(f"graph {pdf['graph_id'].iloc[0]} has {len(pdf)} edges")
-        pdf = pdf.sort_values(["src", "edge_ord"], kind="stable")
-        rows, seen = [], set()
-        for source, sink, a, b in superbubbles_of(pdf["src"].to_numpy(), pdf["dst"].to_numpy()):
-            key = (min(source, sink), max(source, sink), *sorted((tuple(a), tuple(b))))
-            if key not in seen:
-                seen.add(key)
-                rows.append((pdf["graph_id"].iloc[0], len(rows), source, sink, a, b))
-        return pd.DataFrame(rows, columns=["graph_id", "emit_seq", "source", "sink", "branch_a", "branch_b"])
-
-    return split_graph(edges).groupBy("graph_id").applyInPandas(one, BUBBLE)
+    A bubble and all its branches lie in one weak component, and roots of
+    other components change no order inside it, so a task takes one component
+    at a time.  ``emit_seq`` numbers the bubbles of a graph file by component
+    (its smallest node), outer before inner ones.
+    """
+    nodes = edges.select("graph_id", F.col("src").alias("node_id"))
+    parts = keep(weak_components(nodes, edges)).df
+    # one node with links to itself is no bubble
+    work = split_graph(edges).withColumn("node_id", F.floor(F.col("src") / 2)).join(parts, ["graph_id", "node_id"])
+    work = work.select("graph_id", "component", "src", "edge_ord", "dst").repartition("graph_id", "component").sortWithinPartitions("graph_id", "component", "src", "edge_ord")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"graph_id": pa.int64(), "component": pa.int64(), "k": pa.int64(), "source": pa.int64(), "sink": pa.int64(), "branch_a": pa.list_(pa.int64()), "branch_b": pa.list_(pa.int64())}
+        for graph, component, rows in by_component(batches):
+            found, seen = [], set()
+            src, _, dst = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            for source, sink, a, b in superbubbles_of(src, dst):
+                key = (min(source, sink), max(source, sink), *sorted((tuple(a), tuple(b))))
+                if key not in seen:
+                    seen.add(key)
+                    found.append((graph, component, len(found), source, sink, a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types.values(), strict=True)], names=list(types))
+
+    found = keep(work.mapInArrow(search, "graph_id long, component long, k long, source long, sink long, branch_a array<long>, branch_b array<long>")).df
+    order = F.struct("graph_id", "component", "k")
+    return numbered_within(found.withColumn("__o", order), "graph_id", "__o", "emit_seq").select("graph_id", "emit_seq", "source", "sink", "branch_a", "branch_b")
 
 
 def simple_bubbles(edges: DataFrame) -> DataFrame:

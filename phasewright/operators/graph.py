@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,34 +85,74 @@ def degrees(edges: DataFrame, scope: str = "graph_id") -> DataFrame:
     return ends.groupBy(scope, F.col("e.n").alias("node_id")).agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 
+def numbered_within(df: DataFrame, group: str, order: str, number: str) -> DataFrame:
+    """``df`` with a dense number from 0 in each group; ``order`` is one unique column that sorts by the group first."""
+    every = numbered(df, order, "__n")
+    first = every.groupBy(group).agg(F.min("__n").alias("__first"))
+    return every.join(first, group).withColumn(number, F.col("__n") - F.col("__first")).drop("__n", "__first")
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (s, a, b) of each batch as stars: every end linked to the smallest one it reaches within the batch."""
+    for batch in batches:
+        s, a, b = (np.asarray(batch.column(c)) for c in ("s", "a", "b"))
+        scope, end = np.concatenate((s, s)), np.concatenate((a, b))
+        by = np.lexsort((end, scope))
+        new = np.ones(len(by), bool)
+        new[1:] = (scope[by][1:] != scope[by][:-1]) | (end[by][1:] != end[by][:-1])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.cumsum(new) - 1
+        scope, end = scope[by][new], end[by][new]
+        u, v = place[: len(s)], place[len(s) :]
+        low = np.arange(len(end))
+        while True:
+            least = np.minimum(low[u], low[v])
+            after = low.copy()
+            np.minimum.at(after, u, least)
+            np.minimum.at(after, v, least)
+            after = after[after]
+            if (after == low).all():
+                break
+            low = after
+        far = np.flatnonzero(low != np.arange(len(end)))
+        yield pa.RecordBatch.from_arrays([pa.array(scope[far]), pa.array(end[low[far]]), pa.array(end[far])], names=["s", "a", "b"])
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame, scope: str = "graph_id", node: str = "node_id", max_rounds: int = 60) -> DataFrame:
     """(scope, node, component): the smallest node reached over edges in either direction; nodes without edges stay alone.
 
-    Stars are made larger and smaller in turn: first every node links its
-    larger neighbours to the smallest one it knows, then itself and its smaller
-    neighbours, until the links are stars around the smallest node.  Minima
-    are combined before they are shuffled; a hub's links are split by the skew
-    join.  Each round is a table in the shared folder.
+    Scope and nodes are whole numbers; rows where one is null are skipped.
+    Links are first made stars within each batch of them.  Then each round
+    moves every node to that neighbour, or itself, whose hash is least, and
+    goes on with the links between the nodes moved to, about half as many,
+    until no link is left; the moves, read backwards, tell where each node
+    ended.  Minima are combined before they are shuffled and a hub's links are
+    split by the skew join.  Each round is a table in the shared folder.
     """
-    v = nodes.select(F.col(scope).alias("s"), F.col(node).alias("v")).unionByName(edges.select(F.col(scope).alias("s"), F.explode(F.array("src", "dst")).alias("v"))).where("v IS NOT NULL").distinct()
+    s = F.col(scope).cast("long").alias("s")
+    v = nodes.select(s, F.col(node).cast("long").alias("v")).unionByName(edges.select(s, F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("v"))).where("s IS NOT NULL AND v IS NOT NULL").distinct()
+    raw = edges.where("src <> dst").select(s, F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")).where("s IS NOT NULL")
     link = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    stats = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("s", "a", "b"))}
-    start = edges.where("src <> dst").select(F.col(scope).alias("s"), F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    state = keep(start, **stats)
-    for _ in range(max_rounds):
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+    state = keep(raw.mapInArrow(_contracted, "s long, a long, b long").distinct(), n=F.count(F.lit(1)))
+    moves = []
+    while state.stats["n"]:
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = state.df.select("s", F.explode(F.array(link("a", "b"), link("b", "a"))).alias("e")).select("s", "e.a", "e.b")
-        low = both.groupBy("s", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, ["s", "a"]).select("s", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("s", "a").agg(F.min("b").alias("m"))
-        small = large.join(low, ["s", "a"]).select("s", F.explode(F.array(link("b", "m"), link("a", "m"))).alias("e")).select("s", "e.a", "e.b")
-        after = keep(small.where("a <> b").distinct(), **stats)
-        done = after.stats == state.stats
+        to = keep(both.groupBy("s", "a").agg(F.min(rank("b")).alias("r")).select("s", F.col("a").alias("v"), F.least("r", rank("a"))["to"].alias("to"))).df
+        moves.append(to)
+        of = lambda c, as_, to=to: to.select("s", F.col("v").alias(c), F.col("to").alias(as_))
+        moved = state.df.join(of("a", "x"), ["s", "a"]).join(of("b", "y"), ["s", "b"]).where("x <> y")
+        after = keep(moved.select("s", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n=F.count(F.lit(1)))
         state.drop()
         state = after
-        if done:
-            root = state.df.select("s", F.col("a").alias("v"), F.col("b").alias("c"))
-            return v.join(root, ["s", "v"], "left").select(F.col("s").alias(scope), F.col("v").alias(node), F.coalesce("c", "v").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    ended = state.df.select("s", F.col("a").alias("v"), F.col("b").alias("end"))
+    for to in reversed(moves):
+        ended = to.join(ended.withColumnRenamed("v", "to"), ["s", "to"], "left").select("s", "v", F.coalesce("end", "to").alias("end"))
+    known = keep(v.join(ended, ["s", "v"], "left").withColumn("end", F.coalesce("end", "v"))).df
+    least = known.groupBy("s", "end").agg(F.min("v").alias("component"))
+    return known.join(least, ["s", "end"]).select(F.col("s").alias(scope), F.col("v").alias(node), "component")
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

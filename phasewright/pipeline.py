@@ -96,13 +96,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     members = nodes.select(F.lit(0).cast("long").alias("graph_id"), "node_id")
     own, kept = H.phase_subgraph(edges, members, phases, alts)
     chains = keep(H.chains(own, kept, contacts, not a.simple_chainer).unionByName(H.unphased_chains(members, phases, alts))).df
-    segments = keep(U.unzip_segments(chains, nodes, alts)).df
+    segments = keep(U.numbered_segments(U.unzip_segments(chains, nodes, alts))).df
     links = keep(U.unzip_links(chains, edges)).df
     sequences = keep(U.chain_sequences(chains, nodes, edges)).df
     at = os.path.join(a.out_dir, a.prefix or os.path.splitext(os.path.basename(a.gfa))[0])
     writers.write_lines(writers.chained_gfa(nodes, phases, edges, chains), f"{at}.chained.gfa")
     writers.write_lines(writers.unzipped_gfa(segments, links, nodes), f"{at}.unzipped.gfa")
-    for part, name in enumerate(writers.PARTS):
+    for part, name in enumerate(writers.FILES):
         writers.write_lines(writers.haplotype_fasta(sequences, part), f"{at}.{name}.fasta")
     writers.phase_labels(nodes, phases).write.mode("overwrite").csv(f"{at}.labels.csv", header=True)
     return {"nodes": nodes, "edges": edges, "contacts": contacts, "alts": alts, "phases": phases, "chains": chains, "segments": segments, "links": links, "sequences": sequences}

@@ -13,6 +13,8 @@ from phasewright.sources.fasta import fasta_lines
 from phasewright.sources.gfa import link_line, path_line, segment_line
 
 PARTS = ("ph0", "ph1", "un")
+#: The FASTA files of the parts (fixed names of the format).
+FILES = ("phase_0", "phase_1", "unphased")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

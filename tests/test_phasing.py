@@ -181,6 +181,12 @@ def test_hamiltonian_path():
     two = H.hamiltonian_path([0, 1, 2, 3], {0: [1], 1: [2, 3], 2: [3], 3: [2]}, [0])
     assert two.path == [0, 1, 3, 2] and two.unique_prefix == [0, 1]
     assert H.hamiltonian_path([], {}).solved and H.hamiltonian_path([9], {}).path == [9]
+    alone = H.hamiltonian_path([9], {}, [8])
+    assert not alone.solved and alone.path == [] and H.hamiltonian_path([9], {}, [9], [9]).path == [9]
+    outside = H.hamiltonian_path([1, 2], {1: [2]}, [7])
+    assert outside.solved and outside.path == []  # starts that are given but lie outside allow no path
+    assert H.hamiltonian_path([1, 2, 3], {1: [2], 2: [3]}, [1], max_states=2).path == [1, 2, 3]  # starts are no states
+    assert not H.hamiltonian_path([1, 2, 3, 4], {1: [2], 2: [3]}, [1], max_states=2).solved
     random.seed(4)
     for _ in range(100):
         n = random.randint(2, 6)
@@ -202,7 +208,7 @@ def test_chains(spark):
         for _, part, chain, pos, node in got:
             walks.setdefault((part, chain), []).append(node)
         assert walks == {(0, 0): [0, 1, 3, 4], (0, 1): [8, 9], (1, 0): [0, 2, 3, 4], (1, 1): [8, 9]}
-    assert rows(H.unphased_chains(nodes, phases.where("false"), alts)) == [(0, 2, 1, 0, 1), (0, 2, 2, 0, 2)]
+    assert rows(H.unphased_chains(nodes, phases.where("false"), alts)) == [(0, 2, 0, 0, 1), (0, 2, 1, 0, 2)]
     full = H.chains(members, kept, contacts)
     table = spark.createDataFrame([(k, f"n{k}", "ACGTACGTAC"[:k], k, 0) for k in range(10)], "node_id long, name string, seq string, length long, coverage long")
     segments = rows(U.unzip_segments(full, table, alts).select("part", "name"))
@@ -236,13 +242,13 @@ def test_pipeline(spark, tmp_path):
     phase = {name[n]: p for n, p in rows(out["phases"])}
     assert phase[1] + phase[2] == 1 and phase[5] == phase[7] == phase[1] and phase[6] == phase[8] == phase[2]
     kinds = sorted(p.name for p in (tmp_path / "out").iterdir())
-    assert kinds == ["g.chained.gfa", "g.labels.csv", "g.ph0.fasta", "g.ph1.fasta", "g.un.fasta", "g.unzipped.gfa"]
+    assert kinds == ["g.chained.gfa", "g.labels.csv", "g.phase_0.fasta", "g.phase_1.fasta", "g.unphased.fasta", "g.unzipped.gfa"]
     text = lambda n: "".join(p.read_text() for p in sorted((tmp_path / "out" / n).glob("part-*")))
     assert text("g.chained.gfa").count("S\t") == len(used)
     again = text("g.unzipped.gfa")
     assert again.count("S\t") == out["segments"].count() and again.count("L\t") == out["links"].count()
     assert "s0_ph0" in again and "s0_ph1" in again and "s1_ph" not in again
-    assert text("g.ph0.fasta").startswith(">ph0_0\n")
+    assert text("g.phase_0.fasta").startswith(">ph0_0\n")
     assert main(["-g", str(tmp_path / "none.gfa"), "-b", str(tmp_path / "r.sam")]) == 1
     for bad in (["-g", "x"], ["-g", "x", "-b", "y", "-p", "z"], ["-g", "x", "-b", "y", "--bubble-mode", "csv"], ["-g", "x", "-b", "y", "--what"]):
         with pytest.raises(SystemExit):
