@@ -205,7 +205,9 @@ def reciprocal_best(candidates: DataFrame, nodes: DataFrame, k: int = 16, size:
     fit = nodes.where(F.col("length") >= k)
     both = candidates.join(fit.select(F.col("node_id").alias("a")), "a", "left_semi").join(fit.select(F.col("node_id").alias("b")), "b", "left_semi")
     both, sketched = keep(both).df, keep(sketches(fit, k, size)).df
-    scored = both.join(similarities(both, sketched), ["a", "b"]).where(F.col("jaccard") >= threshold)
+    # each unordered pair is scored once and read from both ends
+    half = similarities(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sketched).where(F.col("jaccard") >= threshold).select(F.col("a").alias("x"), F.col("b").alias("y"), "jaccard")
+    scored = both.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(half, ["x", "y"])
     rank = Window.partitionBy("graph_id", "a").orderBy(F.desc("jaccard"), "b")
     best = scored.withColumn("k", F.row_number().over(rank)).where("k = 1").select("graph_id", "a", "b")
     back = best.select("graph_id", F.col("a").alias("b"), F.col("b").alias("a"))

@@ -39,19 +39,33 @@ def sketches(nodes: DataFrame, k: int = 16, size: int = 1000) -> DataFrame:
 def similarities(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the multiset Jaccard similarity of their sketches; 0 where one is empty or missing.
 
-    The sketches are exploded to (node, hash, times) and joined on pair and
-    hash; a pair without a common hash keeps its row.
+    Each distinct pair meets its two sketches by joins, and batches of pairs
+    intersect them as sorted arrays; nothing is exploded.
     """
-    size = sketch.select("node_id", F.size("hashes").alias("n"))
-    rows = sketch.select("node_id", F.explode("hashes").alias("h")).groupBy("node_id", "h").agg(F.count(F.lit(1)).alias("m"))
-    asked = pairs.select("a", "b").distinct()
-    both = asked.join(rows.select(F.col("node_id").alias("a"), "h", F.col("m").alias("ma")), "a").join(rows.select(F.col("node_id").alias("b"), "h", F.col("m").alias("mb")), ["b", "h"])
-    shared = both.groupBy("a", "b").agg(F.sum(F.least("ma", "mb")).alias("shared"))
-    out = asked.join(shared, ["a", "b"], "left")
-    for side in ("a", "b"):
-        out = out.join(size.select(F.col("node_id").alias(side), F.col("n").alias(f"n{side}")), side, "left")
-    s = F.coalesce("shared", F.lit(0))
-    return out.select("a", "b", F.when((F.col("na") > 0) & (F.col("nb") > 0), s / (F.col("na") + F.col("nb") - s)).otherwise(0.0).alias("jaccard"))
+    of = lambda side: sketch.select(F.col("node_id").alias(side), F.col("hashes").alias(f"h{side}"))
+    none = F.array().cast("array<bigint>")
+    both = pairs.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", *[F.coalesce(h, none).alias(h) for h in ("ha", "hb")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            row, values = [], []
+            for name in ("ha", "hb"):
+                lists = batch.column(name)
+                row.append(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())))
+                values.append(lists.flatten().to_numpy())
+            own, place, = np.unique(np.concatenate(values), return_inverse=True)
+            # hashes of both sides by (pair, hash), with how often each side has them
+            key = np.concatenate(row) * np.int64(max(len(own), 1)) + place
+            (ka, na), (kb, nb) = (np.unique(k, return_counts=True) for k in (key[: len(row[0])], key[len(row[0]) :]))
+            common, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            shared = np.bincount(common // max(len(own), 1), weights=np.minimum(na[x], nb[y]), minlength=n)
+            size = [np.bincount(r, minlength=n) for r in row]
+            filled = (size[0] > 0) & (size[1] > 0)
+            jaccard = np.where(filled, shared / np.maximum(size[0] + size[1] - shared, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(jaccard)], names=["a", "b", "jaccard"])
+
+    return both.mapInArrow(meet, "a long, b long, jaccard double")
 
 
 def kmer_set(sequences: DataFrame, k: int = 31) -> DataFrame:
@@ -60,20 +74,44 @@ def kmer_set(sequences: DataFrame, k: int = 31) -> DataFrame:
 
 
 def _hashed(nodes: DataFrame, k: int) -> DataFrame:
-    def both(seq: str) -> np.ndarray:
-        _, forward, reverse = K.codes(seq, k)
-        return np.minimum(K.invertible(forward, k), K.invertible(reverse, k))
+    """(node_id, h, m): the different hashes of each node's k-mers and how often each comes; a node is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, seq in zip(batch.column("node_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                _, forward, reverse = K.codes(seq or "", k)
+                h, m = np.unique(np.minimum(K.invertible(forward, k), K.invertible(reverse, k)), return_counts=True)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node), pa.int64()), pa.array(K.signed(h), pa.int64()), pa.array(m, pa.int64())], names=["node_id", "h", "m"])
+
+    return nodes.select(F.col("node_id").cast("long").alias("node_id"), "seq").mapInArrow(_joined(run), "node_id long, h long, m long")
+
+
+def _joined(run: Callable, rows: int = 20_000) -> Callable:
+    """``run`` with its small batches put together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return _per_sequence(nodes, both, "hashes").select("node_id", F.explode("hashes").alias("h"))
+    return work
 
 
 def trio_scores(nodes: DataFrame, paternal: DataFrame, maternal: DataFrame, k: int = 31) -> DataFrame:
     """(node_id, pat_count, mat_count): windows of each node that are among a parent's k-mers, repeats counted.
 
-    Windows are counted per node and hash before they are probed; nodes
-    without a match, or without a sequence, have zeros.
+    Windows are counted per node and hash where they are made, and shuffled
+    once, to the parents' hashes; nodes without a match, or without a
+    sequence, have zeros.
     """
-    rows = _hashed(nodes, k).groupBy("node_id", "h").agg(F.count(F.lit(1)).alias("m"))
+    rows = _hashed(nodes, k)
     tagged = paternal.select("h", F.lit(1).alias("pat"), F.lit(0).alias("mat")).unionByName(maternal.select("h", F.lit(0).alias("pat"), F.lit(1).alias("mat")))
     parents = tagged.groupBy("h").agg(F.max("pat").alias("pat"), F.max("mat").alias("mat"))
     hit = rows.join(parents, "h").groupBy("node_id").agg(F.sum(F.col("m") * F.col("pat")).alias("pat_count"), F.sum(F.col("m") * F.col("mat")).alias("mat_count"))

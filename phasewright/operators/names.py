@@ -13,15 +13,15 @@ STYLES = {
     "hifiasm": r"^h[12]tg\d+l$",
     "verkko": r"^haplotype[12]-\d+$",
 }
-SAMPLE_IDS = 1000
 
 
-def style_votes(nodes: DataFrame, limit: int = SAMPLE_IDS) -> DataFrame:
-    """One row: how many of the nodes with an id below ``limit`` fit each style."""
-    return nodes.where(F.col("node_id") < limit).agg(*[F.count_if(F.col("name").rlike(p)).alias(s) for s, p in STYLES.items()])
+def style_votes(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: how many of the nodes fit each style; with ``limit`` only those with an id below it, as the reference looks at the first 1000."""
+    some = nodes if limit is None else nodes.where(F.col("node_id") < limit)
+    return some.agg(*[F.count_if(F.col("name").rlike(p)).alias(s) for s, p in STYLES.items()])
 
 
-def detect_style(nodes: DataFrame, limit: int = SAMPLE_IDS) -> str:
+def detect_style(nodes: DataFrame, limit: int | None = None) -> str:
     """The style with most votes; the first on a tie, so ``classic`` if there are none."""
     votes = style_votes(nodes, limit).first()
     return max(STYLES, key=lambda s: votes[s])

@@ -14,8 +14,8 @@ from phasewright.plans.tables import keep
 
 #: Most parent keys that one range is planned for; they are held as sorted arrays by the task that probes them.
 RANGE_KEYS = 1_000_000
-#: Parts into which the references to one heavy key are spread.
-SALTS = 32
+#: References that one range is planned for.
+RANGE_REFS = 5_000_000
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 _NEVER = np.iinfo(np.int64).max
 
@@ -128,19 +128,25 @@ def orphan_references(
     always there.  Result: tab, field, row_key, period (``yyyy-MM``), reason;
     repeated references come out as often as they are given.
 
-    Both sides are range-partitioned on the key.  The references to a heavy key
-    (one of at most 1/support, from a sketch) are spread over ``SALTS`` ranges,
-    to each of which its parent is copied.
+    Both sides are range-partitioned on the key, into ranges of at most
+    ``range_keys`` parents and ``RANGE_REFS`` references on average.  The references to a heavy key
+    (one of at most 1/support, from a sketch, then counted) are spread over so
+    many ranges that each holds a quarter of an average one, and its parent is copied to all of them.
     """
     spark = refs.sparkSession
     kept = keep(parents.select("key", "first_loaded", "deleted_at"), n=F.count(F.lit(1)))
     kind = parents.schema["key"].dataType
     refs = refs.where(F.col("key").isNotNull()).withColumn("rk", F.coalesce(F.col("fallback").cast(kind), F.col("key")))
-    hot = F.broadcast(heavy_keys(refs, "rk").withColumn("hot", F.lit(True)))
+    # at most 1/support rows and one for all the rest
+    heavy = F.broadcast(heavy_keys(refs, "rk").withColumn("hot", F.lit(True)))
+    counts = keep(refs.join(heavy, "rk", "left").groupBy(F.when(F.col("hot"), F.col("rk")).alias("rk")).agg(F.count(F.lit(1)).alias("n")), total=F.sum("n"))
+    total = counts.stats["total"] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.stats["n"] // range_keys), -(-total // RANGE_REFS))
+    hot = F.broadcast(counts.df.where("rk IS NOT NULL").select("rk", F.greatest(F.ceil(F.col("n") * (4 * ranges) / max(total, 1)), F.lit(1)).cast("int").alias("salts")))
     left = (
         kept.df.withColumn("rk", F.explode(F.array_distinct(F.array("key", extension_of(F.col("key"))))))
         .join(hot, "rk", "left")
-        .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         .select(
             "rk", "salt", F.lit(0).alias("is_ref"), "key", F.lit(None).cast(kind).alias("fallback"), "first_loaded", "deleted_at",
             F.lit(None).cast("string").alias("tab"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("row_key"),
@@ -149,11 +155,10 @@ def orphan_references(
     )
     never = F.lit(None).cast("timestamp_ntz")
     right = refs.join(hot, "rk", "left").select(
-        "rk", F.when(F.col("hot"), F.pmod(F.xxhash64("row_key", "field"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"),
+        "rk", F.pmod(F.xxhash64("row_key", "field"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"),
         F.lit(1).alias("is_ref"), "key", F.col("fallback").cast(kind).alias("fallback"), never.alias("first_loaded"), never.alias("deleted_at"),
         "tab", "field", F.col("row_key").cast("long").alias("row_key"), F.col("at").cast("timestamp_ntz").alias("at"), F.substring(F.col("at").cast("timestamp_ntz").cast("string"), 1, 7).alias("period"),
     )
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.stats["n"] // range_keys))
     return (
         left.unionByName(right)
         .repartitionByRange(ranges, "rk", "salt")

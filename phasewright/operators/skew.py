@@ -12,16 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SUPPORT = 0.001
+#: Share of the rows above which a key may be heavy; smaller where there are so many partitions that it would outweigh one of them.
+SUPPORT, LEAST_SUPPORT = 0.001, 0.0001
 
 
-def heavy_keys(df: DataFrame, key: str, support: float = SUPPORT) -> DataFrame:
-    """A table with the one column ``key``: all keys that may hold more than ``support`` of the rows.
+def support_of(df: DataFrame) -> float:
+    """A quarter of what an even partition of a shuffle holds, between ``LEAST_SUPPORT`` and ``SUPPORT``."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SUPPORT, min(SUPPORT, 1 / (4 * partitions)))
+
+
+def heavy_keys(df: DataFrame, key: str, support: float | None = None) -> DataFrame:
+    """A table with the one column ``key``: all keys that may hold more than ``support`` of the rows (by default that of ``support_of``).
 
     Null keys are never heavy.  An empty input gives an empty table.  At most
     ``1/support`` rows, whatever the size of the input.
     """
-    kind = df.schema[key].dataType
+    kind, support = df.schema[key].dataType, support or support_of(df)
     found = df.where(F.col(key).isNotNull()).stat.freqItems([key], support).first()
     keys = [k for k in (found[0] or []) if k is not None]
     return df.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(key, kind)]))
@@ -39,7 +46,7 @@ def strongest_partner(
     key: str = "u",
     partner: str = "v",
     weight: str = "w",
-    support: float = SUPPORT,
+    support: float | None = None,
 ) -> DataFrame:
     """For each key the partner with the largest total weight, the smaller partner on ties.
 
@@ -48,9 +55,10 @@ def strongest_partner(
     rows without an entry number cannot be told apart and all count.  Columns:
     ``key``, ``partner``, ``total``.  Other columns of the input are ignored.
 
-    Heavy keys: rows spread by (key, partner), are summed there, and only one
-    row per partner and task reaches the key.  Other keys: one shuffle on the
-    key serves the deduplication, the sums and the choice.
+    Heavy keys: rows are spread by all they hold to count once, partial sums
+    then by (key, partner), and only one row per partner and task reaches the
+    key, so not even a heavy pair stays together.  Other keys: one shuffle on
+    the key serves the deduplication, the sums and the choice.
     """
     rows = entries.select(
         F.col(entry).alias("__e"), F.col(key).alias("__k"), F.col(partner).alias("__p"), F.col(weight).cast("long").alias("__w")
@@ -67,5 +75,5 @@ def strongest_partner(
             F.min_by("__p", F.struct(-F.col("__t"), F.col("__p"))).alias("__p"), F.max("__t").alias("__t")
         )
 
-    found = best(totals(heavy.repartition("__k", "__p"))).unionByName(best(totals(light.repartition("__k"))))
+    found = best(totals(heavy)).unionByName(best(totals(light.repartition("__k"))))
     return found.select(F.col("__k").alias(key), F.col("__p").alias(partner), F.col("__t").alias("total"))

@@ -30,8 +30,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of the contact matrix, each delivered once."""
-    return load(spark, sf, "contacts").dropDuplicates(["entry_no"]).select("u", "v", "w")
+    """Entries of the contact matrix: equal rows of one entry count once, rows without an entry number each."""
+    own = load(spark, sf, "contacts").groupBy("entry_no", "u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(F.col("entry_no").isNull(), F.col("n")).otherwise(F.lit(1))
+    return own.select("u", "v", (F.col("w") * times).alias("w"))
 
 
 def alts(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +85,8 @@ edges AS (
   SELECT graph_id, u AS src, v AS dst, ur AS src_rev, vr AS dst_rev, link_no * 2 AS edge_ord, overlap FROM l
   UNION ALL SELECT graph_id, v, u, NOT vr, NOT ur, link_no * 2 + 1, overlap FROM l)"""
 )
-CONTACTS = """once AS (SELECT entry_no, any_value(u) AS u, any_value(v) AS v, any_value(w) AS w FROM contacts GROUP BY entry_no),
+CONTACTS = """once AS (
+  SELECT DISTINCT entry_no, u, v, w FROM contacts WHERE entry_no IS NOT NULL UNION ALL SELECT entry_no, u, v, w FROM contacts WHERE entry_no IS NULL),
 summed AS (SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(sum(coalesce(w, 0)) AS BIGINT) AS w FROM once WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"""
 ALTS = """turned AS (
   SELECT pair_no, node_id AS n, alt_id AS alt FROM alt_map WHERE node_id <> alt_id

@@ -23,10 +23,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on
+    a cluster a folder that executors don't share would lose rows.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir() or named
@@ -41,10 +44,22 @@ class Kept:
 
     def drop(self) -> None:
         """Delete the files; for tables of an earlier round that no later plan reads."""
-        spark = self.df.sparkSession
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.df.sparkSession, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is; PySpark has no function of its own for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has kept; for its end, when no plan reads them any more."""
+    _delete(spark, _own_dir(spark))
 
 
 def keep(df: DataFrame, **stats) -> Kept:
@@ -56,7 +71,7 @@ def keep(df: DataFrame, **stats) -> Kept:
     from pyspark.sql import Observation
 
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     seen = None
     if stats:
         seen = Observation()
@@ -71,4 +86,4 @@ def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
 
 
-__all__ = ["Kept", "is_empty", "keep", "load", "shared_dir"]
+__all__ = ["Kept", "is_empty", "keep", "load", "release", "shared_dir"]

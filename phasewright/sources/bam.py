@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import glob
 import gzip
+import itertools
 import os
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, rnext string, pnext long, tlen long"
 
+NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[field.split()[1]] for field in SCHEMA.split(", ")]
+ROWS = 10_000
+
 
 class _File(InputPartition):
     def __init__(self, path: str):
@@ -20,7 +26,7 @@ class _File(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    """One partition per file; blocks are decompressed as a stream, so a task holds one record at a time."""
+    """One partition per file; blocks are decompressed as a stream, so a task holds one batch of records at a time."""
 
     def __init__(self, path: str):
         self.files = sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
@@ -28,10 +34,16 @@ class BamReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(f) for f in self.files]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with gzip.open(partition.path, "rb") as data:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of ``ROWS`` records."""
+        rows = self._records(partition.path)
+        while some := list(itertools.islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), TYPES, strict=True)], names=NAMES)
+
+    def _records(self, path: str) -> Iterator[tuple]:
+        with gzip.open(path, "rb") as data:
             if data.read(4) != b"BAM\x01":
-                raise ValueError(f"{partition.path} is no BAM file")
+                raise ValueError(f"{path} is no BAM file")
             data.read(struct.unpack("<i", data.read(4))[0])
             names = []
             for _ in range(struct.unpack("<i", data.read(4))[0]):
