@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +96,50 @@ def name_style_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_alt_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Alt pairs by name, with the dotted style."""
-    return N.name_pairs(D.nodes(spark, sf), "dot")
+    """Alt pairs by name, in the style that most names have."""
+    return N.name_pairs(D.nodes(spark, sf))
+
+
+def name_pairs_of_styles(spark: SparkSession, sf: str) -> DataFrame:
+    """The alt pairs that each style would give."""
+    nodes = D.nodes(spark, sf)
+    return functools.reduce(DataFrame.unionByName, [N.name_pairs(nodes, style).withColumn("style", F.lit(style)) for style in N.STYLES])
+
+
+def base_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The name without its suffix, for every node and style that has one."""
+    nodes = D.nodes(spark, sf)
+    return functools.reduce(DataFrame.unionByName, [N.with_base(nodes, style).select("node_id", F.lit(style).alias("style"), "base") for style in N.STYLES])
+
+
+def name_style(spark: SparkSession, sf: str) -> DataFrame:
+    """The style that most names have, the first on a tie."""
+    votes = N.style_votes(D.nodes(spark, sf))
+    best = F.greatest(*N.STYLES)
+    return votes.select(F.coalesce(*[F.when(F.col(s) == best, s) for s in N.STYLES]).alias("style"))
+
+
+def node_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the names that alignments mention; names without a segment are dropped."""
+    asked = load(spark, sf, "alignments").select(F.col("rname").alias("name")).distinct()
+    return G.ids_of(asked, D.nodes(spark, sf).select("name", "node_id"))
+
+
+def neighbours_of_alts(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges that leave nodes with an alt, in adjacency order."""
+    return G.neighbours(D.edges(spark, sf), D.alts(spark, sf)).select("graph_id", "src", "dst", "src_rev", "dst_rev", "edge_ord")
+
+
+def table_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals that a run reports: nodes, edges, contacts, alt pairs, locked nodes and unzipped segments per phase."""
+    def total(df: DataFrame, name: str, value=F.count(F.lit(1))) -> DataFrame:
+        return df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("total")).select(F.lit(name).alias("name"), "total")
+
+    parts = [total(D.nodes(spark, sf), "nodes"), total(D.edges(spark, sf), "edges"), total(contact_sums(spark, sf), "contacts"), total(contact_sums(spark, sf), "contact weight", F.sum("w"))]
+    parts += [total(D.alts(spark, sf), "alts"), total(D.locks(spark, sf), "locked nodes")]
+    uz = load(spark, sf, "uz_segments")
+    parts += [total(uz.where(F.col("phase") == p), f"segments of phase {p}") for p in (-1, 0, 1)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def csv_haplotype_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,13 +173,21 @@ QUERIES = {
     for q in (
         segment_last_wins, node_dictionary, cigar_overlap_length, link_mirroring, fasta_fill_sequence, alignment_flag_filter, contact_counts, contact_sums, contact_symmetrize,
         contact_filter_both_ends, contact_lookup, contact_row_cursor, degrees, split_graph, weak_components, homozygous_nodes, name_style_votes, name_alt_pairs, csv_haplotype_pairs,
-        csv_name_pairs, reverse_complements, fasta_wrap60,
+        csv_name_pairs, reverse_complements, fasta_wrap60, name_pairs_of_styles, base_names, name_style, node_ids, neighbours_of_alts, table_totals,
     )
 }
 
 _RECORDS = """rec AS (
   SELECT library_id, rname AS name_a, CASE WHEN rnext = '=' THEN rname ELSE rnext END AS name_b FROM alignments
   WHERE (flag & 2381) = 65 AND rname <> '*' AND CASE WHEN rnext = '=' THEN rname ELSE rnext END <> '*')"""
+_STYLE = (
+    "votes AS (SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(name, '{p}')) AS {s}" for s, p in N.STYLES.items()) + " FROM nodes),\n"
+    + "style AS (SELECT CASE greatest(" + ", ".join(N.STYLES) + ") " + " ".join(f"WHEN {s} THEN '{s}'" for s in N.STYLES) + " END AS style FROM votes)"
+)
+_BASES = r"""bases AS (
+  SELECT node_id, 'classic' AS style, regexp_replace(name, '_\d+$', '') AS base FROM nodes
+  UNION ALL SELECT node_id, style, regexp_replace(name, '\.\d+$', '') FROM nodes, (SELECT unnest(['pr', 'dot']) AS style) WHERE regexp_matches(name, '\.\d+$')),
+two AS (SELECT style, base, min(node_id) AS a, max(node_id) AS b FROM bases GROUP BY 1, 2 HAVING count(*) = 2)"""
 _SYM = D.CONTACTS + ",\nsym AS (SELECT u, v, w FROM summed UNION ALL SELECT v, u, w FROM summed WHERE u <> v)"
 
 SQL = {
@@ -173,11 +225,17 @@ reach(graph_id, node_id, low) AS (
   UNION SELECT r.graph_id, e.dst, r.low FROM reach r JOIN e ON e.graph_id = r.graph_id AND e.src = r.node_id WHERE r.low < e.dst)
 SELECT graph_id, node_id, min(low) AS component FROM reach GROUP BY 1, 2""",
     "homozygous_nodes": f"WITH {D.NODES}, {D.ALTS} SELECT node_id, name FROM nodes WHERE node_id NOT IN (SELECT node_id FROM alts)",
-    "name_style_votes": f"WITH {D.NODES} SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(name, '{p}')) AS {s}" for s, p in N.STYLES.items()) + " FROM nodes WHERE node_id < 1000",
-    "name_alt_pairs": rf"""WITH {D.NODES},
-two AS (
-  SELECT regexp_replace(name, '\.\d+$', '') AS base, min(node_id) AS a, max(node_id) AS b FROM nodes WHERE regexp_matches(name, '\.\d+$') GROUP BY 1 HAVING count(*) = 2)
-SELECT a AS node_id, b AS alt_id FROM two UNION ALL SELECT b, a FROM two""",
+    "name_style_votes": f"WITH {D.NODES} SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(name, '{p}')) AS {s}" for s, p in N.STYLES.items()) + " FROM nodes",
+    "name_style": f"WITH {D.NODES}, {_STYLE} SELECT style FROM style",
+    "base_names": f"WITH {D.NODES}, {_BASES} SELECT node_id, style, base FROM bases",
+    "name_pairs_of_styles": f"WITH {D.NODES}, {_BASES} SELECT a AS node_id, b AS alt_id, style FROM two UNION ALL SELECT b, a, style FROM two",
+    "name_alt_pairs": f"WITH {D.NODES}, {_STYLE}, {_BASES} SELECT a AS node_id, b AS alt_id FROM two JOIN style USING (style) UNION ALL SELECT b, a FROM two JOIN style USING (style)",
+    "node_ids": f"WITH {D.NODES} SELECT name, node_id FROM nodes WHERE name IN (SELECT rname FROM alignments)",
+    "neighbours_of_alts": f"WITH {D.EDGES}, {D.ALTS} SELECT graph_id, src, dst, src_rev, dst_rev, edge_ord FROM edges WHERE src IN (SELECT node_id FROM alts)",
+    "table_totals": f"""WITH {D.NODES}, {D.EDGES}, {D.CONTACTS}, {D.ALTS}, {D.LOCKS}
+SELECT 'nodes' AS name, count(*) AS total FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'contacts', count(*) FROM summed
+UNION ALL SELECT 'contact weight', CAST(coalesce(sum(w), 0) AS BIGINT) FROM summed UNION ALL SELECT 'alts', count(*) FROM alts UNION ALL SELECT 'locked nodes', count(*) FROM locks
+UNION ALL SELECT 'segments of phase ' || p, (SELECT count(*) FROM uz_segments WHERE phase = p) FROM (SELECT unnest([-1, 0, 1]) AS p)""",
     "csv_haplotype_pairs": """WITH own AS (SELECT seg_idx, name, graph_id, length, phase FROM uz_segments WHERE phase >= 0 AND name <> ''),
 slot AS (SELECT graph_id, length, phase, arg_max(name, seg_idx) AS name FROM own GROUP BY 1, 2, 3)
 SELECT x.name AS name_a, y.name AS name_b FROM slot x JOIN slot y ON x.graph_id IS NOT DISTINCT FROM y.graph_id AND x.length IS NOT DISTINCT FROM y.length AND x.phase = 0 AND y.phase = 1""",

@@ -55,6 +55,17 @@ def superbubbles(spark: SparkSession, sf: str) -> DataFrame:
     return B.superbubbles(D.edges(spark, sf))
 
 
+def superbubble_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """Per graph file with superbubbles: that they are numbered from 0 without gaps, that no member is missing in the graph, and no branch is empty but the second."""
+    found = keep(superbubbles(spark, sf)).df
+    nodes = D.edges(spark, sf).select("graph_id", F.col("src").alias("m")).distinct()
+    members = found.select("graph_id", F.explode(F.concat("branch_a", "branch_b")).alias("m")).distinct()
+    lost = members.join(nodes, ["graph_id", "m"], "left_anti").groupBy("graph_id").agg(F.count(F.lit(1)).alias("lost"))
+    per = found.groupBy("graph_id").agg((F.max("emit_seq") + 1 - F.count_distinct("emit_seq")).alias("gaps"), F.count_if(F.size("branch_a") == 0).alias("empty"))
+    every = D.edges(spark, sf).select("graph_id").distinct().join(per, "graph_id", "left").join(lost, "graph_id", "left")
+    return every.select("graph_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "empty", "lost")])
+
+
 def branch_sequences(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.bubble_rows(spark, sf)
     sides = rows.select("bubble", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("branch_a").alias("members")), F.struct(F.lit(1).alias("side"), F.col("branch_b").alias("members")))).alias("x"))
@@ -114,6 +125,26 @@ def phase_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return P.assign_phases(contact_sums(spark, sf), D.alts(spark, sf), D.locks(spark, sf))
 
 
+def phase_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the assigned phases: every node that has one, the locked ones with theirs, and whether the two nodes of a free pair that is nobody else's lie on different haplotypes."""
+    phases = keep(phase_assignment(spark, sf)).df
+    pairs, locked = free_pairs(spark, sf), D.locks(spark, sf).withColumnRenamed("phase", "locked")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node_id")
+    own = pairs.join(ends.withColumnRenamed("node_id", "a"), "a").join(ends.withColumnRenamed("node_id", "b"), "b")
+    side = lambda n, as_: phases.select(F.col("node_id").alias(n), F.col("phase").alias(as_))
+    apart = own.join(side("a", "pa"), "a").join(side("b", "pb"), "b").select(F.col("a").alias("node_id"), (F.col("pa") != F.col("pb")).alias("apart"))
+    kept = phases.join(locked, "node_id", "left").select("node_id", F.when(F.col("locked").isNotNull(), F.col("phase")).alias("locked"))
+    return kept.join(apart, "node_id", "left").select("node_id", "locked", "apart")
+
+
+def phase_fixed_point(spark: SparkSession, sf: str) -> DataFrame:
+    """After an ascent of two samples: for every meta and sample, whether flipping it alone would gain."""
+    weights, field, signs = _energy(spark, sf)
+    weights, field = keep(weights).df, keep(field).df
+    ended = P.ascend(signs.where("sample < 2"), weights, field, 300)
+    return P.flip_delta(ended, weights, field).select("sample", "meta", (F.col("delta") > 0).alias("gains"))
+
+
 def phase_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return P.propagate(D.locks(spark, sf), D.alts(spark, sf))
 
@@ -142,6 +173,44 @@ def hamiltonian_chains(spark: SparkSession, sf: str) -> DataFrame:
     return _chains(spark, sf, True)
 
 
+def chain_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each member of a haplotype stands in its greedy chains and in its exact ones."""
+    parts = [f(spark, sf).where("part < 2").select("graph_id", "part", "node_id", F.lit(kind).alias("kind")) for kind, f in (("greedy", greedy_chains), ("exact", hamiltonian_chains))]
+    return parts[0].unionByName(parts[1]).groupBy("graph_id", "part", "node_id").pivot("kind", ["greedy", "exact"]).agg(F.count(F.lit(1)))
+
+
+def chain_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Every exact chain with its number, its smallest node and its nodes: one for each weak component, in the order of their smallest nodes."""
+    return hamiltonian_chains(spark, sf).where("part < 2").groupBy("graph_id", "part", "chain_idx").agg(F.min("node_id").alias("smallest"), F.count(F.lit(1)).alias("nodes"))
+
+
+def greedy_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the greedy chains per haplotype: steps along no edge, and first nodes without a parent that stand inside a chain (none of either), chains and members."""
+    own = keep(greedy_chains(spark, sf).where("part < 2")).df
+    kept = keep(phase_subgraph(spark, sf)).df
+    edges = kept.select("graph_id", "part", "src", "dst").distinct()
+    steps = own.select("graph_id", "part", "chain_idx", F.col("pos"), F.col("node_id").alias("src")).join(
+        own.select("graph_id", "part", "chain_idx", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst")), ["graph_id", "part", "chain_idx", "pos"]
+    )
+    off = steps.join(edges, ["graph_id", "part", "src", "dst"], "left_anti").groupBy("graph_id", "part").agg(F.count(F.lit(1)).alias("off"))
+    heads = own.join(edges.select("graph_id", "part", F.col("dst").alias("node_id")).distinct(), ["graph_id", "part", "node_id"], "left_anti")
+    inside = heads.where("pos > 0").groupBy("graph_id", "part").agg(F.count(F.lit(1)).alias("inside"))
+    sizes = own.groupBy("graph_id", "part").agg(F.count(F.lit(1)).alias("members"))
+    out = sizes.join(off, ["graph_id", "part"], "left").join(inside, ["graph_id", "part"], "left")
+    return out.select("graph_id", "part", "members", F.coalesce("off", F.lit(0)).alias("off"), F.coalesce("inside", F.lit(0)).alias("inside"))
+
+
+def unphased_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The chains of the nodes without a phase, if only locked nodes had one, numbered per graph file."""
+    n = _graph_nodes(D.edges(spark, sf))
+    return H.unphased_chains(n, D.locks(spark, sf), D.alts(spark, sf)).select("graph_id", "chain_idx", "node_id")
+
+
+def segment_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Unzipped segments with their dense number: haplotype 0, haplotype 1, unphased."""
+    return U.numbered_segments(unzip_segments(spark, sf)).select("seg_idx", "graph_id", "part", "pos", "name")
+
+
 def unzip_segments(spark: SparkSession, sf: str) -> DataFrame:
     return U.unzip_segments(D.chain_table(spark, sf), D.nodes(spark, sf), D.alts(spark, sf))
 
@@ -193,7 +262,8 @@ QUERIES = {
     q.__name__: q
     for q in (
         canonical_kmers, kmer_sketch, jaccard_pairs, sibling_candidates, reciprocal_best_siblings, simple_bubbles, superbubbles, branch_sequences, bubble_alts, unlabelled_alts, trio_scores,
-        trio_locks, free_pairs, meta_adjacency, flip_delta, agreement_pairs, phase_assignment, phase_propagation, phase_subgraph, greedy_chains, hamiltonian_chains, unzip_segments,
+        trio_locks, free_pairs, meta_adjacency, flip_delta, agreement_pairs, phase_assignment, phase_propagation, phase_subgraph, greedy_chains, hamiltonian_chains, unzip_segments, superbubble_sequence,
+        phase_cover, phase_fixed_point, chain_cover, chain_components, greedy_steps, unphased_numbers, segment_numbers,
         unzip_links, chain_sequences, gfa_segment_lines, gfa_link_lines, gfa_path_lines, phase_labels, assignment_score,
     )
 }
@@ -265,7 +335,63 @@ lnk AS (
   SELECT s.graph_id, part, chain_idx, pos, s.src, s.dst, coalesce(src_rev, false) AS src_rev, coalesce(dst_rev, false) AS dst_rev, coalesce(overlap, 0) AS overlap, overlap IS NULL AS is_synthetic
   FROM steps s LEFT JOIN best b ON b.graph_id = s.graph_id AND b.src = s.src AND b.dst = s.dst WHERE s.dst IS NOT NULL)"""
 
+_BRANCHES = f"""{D.NODES.replace("nodes AS (", "own_nodes AS (")},
+clean AS (
+  SELECT bubble_id AS bubble, list_filter(coalesce(branch_a, []), lambda x: x IS NOT NULL) AS a, list_filter(coalesce(branch_b, []), lambda x: x IS NOT NULL) AS b FROM bubbles),
+two AS (SELECT * FROM clean WHERE len(b) > 0),
+sides AS (SELECT bubble, 0 AS side, unnest(list_distinct(a)) AS node_id FROM two UNION ALL SELECT bubble, 1, unnest(list_distinct(b)) FROM two),
+branch AS (SELECT bubble, side, string_agg(seq, '' ORDER BY s.node_id) AS seq FROM sides s JOIN own_nodes n ON n.node_id = s.node_id GROUP BY 1, 2)"""
+_CLAIMED = """filled AS (SELECT bubble, count(*) AS n FROM branch WHERE seq <> '' GROUP BY 1),
+kept AS (
+  SELECT two.* FROM two LEFT JOIN filled f ON f.bubble = two.bubble JOIN sim ON sim.a = -2 * two.bubble - 1 AND sim.b = -2 * two.bubble - 2 WHERE coalesce(f.n, 0) < 2 OR jaccard >= 0.9),
+ways AS (
+  SELECT bubble, unnest(a) AS node_id, list_min(b) AS alt_id FROM kept UNION ALL SELECT bubble, unnest(b), list_min(a) FROM kept
+  UNION ALL SELECT bubble, unnest(a), NULL FROM clean WHERE len(b) = 0),
+claimed AS (
+  SELECT node_id, alt_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY alt_id IS NULL, bubble DESC, alt_id DESC) AS k FROM ways) WHERE k = 1)"""
+_MEMBERS = """ways AS (SELECT graph_id, part, src AS a, dst AS b FROM sub UNION SELECT graph_id, part, dst, src FROM sub),
+reach(graph_id, part, node_id, low) AS (
+  SELECT graph_id, part, node_id, node_id FROM members
+  UNION SELECT r.graph_id, r.part, w.b, r.low FROM reach r JOIN ways w ON w.graph_id = r.graph_id AND w.part = r.part AND w.a = r.node_id WHERE r.low < w.b),
+comp AS (SELECT graph_id, part, node_id, min(low) AS smallest FROM reach GROUP BY 1, 2, 3)"""
+
 SQL = {
+    "bubble_alts": f"""WITH {_BRANCHES},
+nodes AS (SELECT -2 * bubble - 1 - side AS node_id, seq FROM branch), {_SKETCH},
+asked AS (SELECT -2 * bubble - 1 AS a, -2 * bubble - 2 AS b FROM two), {_SIM}, {_CLAIMED} SELECT node_id, alt_id FROM claimed""",
+    "unlabelled_alts": f"""WITH {_BRANCHES}, {D.EDGES}, {_SIBLINGS},
+nodes AS (SELECT -2 * bubble - 1 - side AS node_id, seq FROM branch UNION ALL SELECT node_id, seq FROM own_nodes), {_SKETCH},
+asked AS (SELECT -2 * bubble - 1 AS a, -2 * bubble - 2 AS b FROM two UNION ALL SELECT DISTINCT a, b FROM sib), {_SIM}, {_CLAIMED},
+fit AS (SELECT node_id FROM own_nodes WHERE length >= {K16} AND node_id NOT IN (SELECT node_id FROM claimed WHERE node_id IS NOT NULL)),
+best AS (
+  SELECT graph_id, a, b FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY graph_id, c.a ORDER BY jaccard DESC, c.b) AS k FROM sib c JOIN sim s ON s.a = c.a AND s.b = c.b
+    WHERE jaccard >= 0.9 AND c.a IN (SELECT node_id FROM fit) AND c.b IN (SELECT node_id FROM fit)) WHERE k = 1),
+met AS (SELECT x.a, x.b FROM best x JOIN best y ON x.graph_id = y.graph_id AND x.a = y.b AND x.b = y.a)
+SELECT node_id, alt_id FROM claimed UNION ALL SELECT a, min(b) FROM met GROUP BY a""",
+    "superbubble_sequence": f"WITH {D.EDGES} SELECT DISTINCT graph_id, 0::BIGINT AS gaps, 0::BIGINT AS empty, 0::BIGINT AS lost FROM edges",
+    "phase_cover": "WITH "
+    + f"{D.ALTS}, {D.LOCKS}, {_PAIRS}, ends AS (SELECT a AS n FROM pairs UNION ALL SELECT b FROM pairs), once AS (SELECT n FROM ends GROUP BY n HAVING count(*) = 1)"
+    + ", p0 AS (SELECT node_id FROM locks UNION SELECT n FROM ends)"
+    + "".join(f", p{k + 1} AS (SELECT node_id FROM p{k} UNION SELECT node_id FROM alts WHERE alt_id IN (SELECT node_id FROM p{k}))" for k in range(4))
+    + """
+SELECT p.node_id, CAST(l.phase AS TINYINT) AS locked, CASE WHEN q.a IS NOT NULL THEN true END AS apart FROM p4 p LEFT JOIN locks l ON l.node_id = p.node_id
+LEFT JOIN (SELECT a FROM pairs WHERE a IN (SELECT n FROM once) AND b IN (SELECT n FROM once)) q ON q.a = p.node_id""",
+    "phase_fixed_point": f"WITH {D.ALTS}, {D.LOCKS}, {_PAIRS} SELECT sample, pair_idx AS meta, false AS gains FROM pairs, (SELECT unnest([0, 1]) AS sample)",
+    "chain_cover": f"WITH {_SUBGRAPH} SELECT graph_id, part, node_id, 1::BIGINT AS greedy, 1::BIGINT AS exact FROM members",
+    "chain_components": f"""WITH RECURSIVE {_SUBGRAPH},
+sub AS (
+  SELECT e.graph_id, x.part, e.src, e.dst FROM edges e JOIN members x ON x.graph_id = e.graph_id AND x.node_id = e.src
+  JOIN members y ON y.graph_id = e.graph_id AND y.node_id = e.dst AND y.part = x.part WHERE NOT e.src_rev), {_MEMBERS},
+per AS (SELECT graph_id, part, smallest, count(*) AS nodes FROM comp GROUP BY 1, 2, 3)
+SELECT graph_id, part, row_number() OVER (PARTITION BY graph_id, part ORDER BY smallest) - 1 AS chain_idx, smallest, nodes FROM per""",
+    "greedy_steps": f"WITH {_SUBGRAPH} SELECT graph_id, part, count(*) AS members, 0::BIGINT AS off, 0::BIGINT AS inside FROM members GROUP BY 1, 2",
+    "unphased_numbers": f"""WITH {D.EDGES}, {D.ALTS}, {D.LOCKS}, gn AS (SELECT DISTINCT graph_id, src AS node_id FROM edges)
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS chain_idx, node_id FROM gn
+WHERE node_id IN (SELECT node_id FROM alts) AND node_id NOT IN (SELECT node_id FROM locks)""",
+    "segment_numbers": f"""WITH {D.NODES}, {D.ALTS}, {D.CHAIN}
+SELECT row_number() OVER (ORDER BY part, graph_id, chain_idx, pos) - 1 AS seg_idx, graph_id, part, pos,
+  name || CASE WHEN c.node_id IN (SELECT node_id FROM alts) OR part = 2 THEN '' ELSE '_ph' || part END AS name FROM chain c JOIN nodes n ON n.node_id = c.node_id""",
     "canonical_kmers": f"WITH {D.NODES}, {_CODES} SELECT node_id, count(*) AS windows, count(DISTINCT code) AS different, min(code) AS low, max(code) AS high FROM km GROUP BY node_id",
     "kmer_sketch": f"WITH {D.NODES}, {_SKETCH} SELECT node_id, k AS place, CAST(CASE WHEN x >= 9223372036854775808 THEN x::HUGEINT - 18446744073709551616 ELSE x::HUGEINT END AS BIGINT) AS hash FROM sk",
     "jaccard_pairs": f"""WITH {D.NODES}, {D.ALTS}, {_SKETCH},
