@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewright.llm.components import group_links, links_of_lists
-from phasewright.llm.cooccurrence import contigs_together
+from phasewright.llm.cooccurrence import contig_rows, contigs_together, count_together
 from phasewright.llm.leakage import leaked_items
 from phasewright.llm.mixing import mix_sources
 from phasewright.llm.neardup import graph_records, near_duplicates
@@ -22,14 +24,22 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of the fixed definition, by their counts; ``p1_surprising`` takes the surprise."""
     big = lambda c: F.col(c).cast("decimal(18,0)")
     often = (F.col("n_both") >= 5) & (big("n_both") * big("n_records") >= 4 * (big("n_lo") * big("n_hi")))
-    return p1_pairs(spark, sf).where(often & F.col("log_q").isNotNull()).select("library_id", "name_lo", "name_hi")
+    return p1_pairs(spark, sf).where(often).select("library_id", "name_lo", "name_hi")
+
+
+def p1_surprising(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that meet more often than the null allows, at a false-discovery rate of one in twenty."""
+    return p1_pairs(spark, sf).where(F.col("log_q") <= math.log(0.05)).select("library_id", "name_lo", "name_hi", "n_both", "expected", "log_q")
 
 
 def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact counts behind the surprise."""
-    return p1_pairs(spark, sf).select("library_id", "name_lo", "name_hi", "n_both", "n_lo", "n_hi", "n_records")
+    """The exact counts alone, without the null."""
+    together = count_together(contig_rows(load(spark, sf, "alignments")), "library_id", "qname", "rname", 5)
+    names = {"s": "library_id", "lo": "name_lo", "hi": "name_hi"}
+    return together.named(together.counts).withColumnsRenamed(names).select("library_id", "name_lo", "name_hi", "n_both", "n_lo", "n_hi", "n_records")
 
 
 def _similar(spark: SparkSession, sf: str):
@@ -75,7 +85,7 @@ def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    q.__name__: q for q in (p1_found, p1_pairs, p1_counts, p2_found, p2_classes, p3_found, p6_found, p7_mixture, p7_shares, p8_found, p8_scores)
+    q.__name__: q for q in (p1_found, p1_pairs, p1_surprising, p1_counts, p2_found, p2_classes, p3_found, p6_found, p7_mixture, p7_shares, p8_found, p8_scores)
 }
 
 P1_SQL = """

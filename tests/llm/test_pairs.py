@@ -34,9 +34,11 @@ def brute(rows, least):
 
 
 def test_pairs_together(spark):
+    # in scope a more giant records than the least count, in b fewer, in none as many
     rows = baskets(1) + [("a", 99, f"i{k}", "x", 1) for k in range(31)]
+    rows += [(g, 200 + r, f"j{(k * (r + 3)) % 29}", "x", 1) for g, giants in (("a", 6), ("b", 1), (None, 3)) for r in range(giants) for k in range(27)]
     df = spark.createDataFrame(rows, ROW)
-    for block, giant, least in ((64, 4096, 2), (4, 4096, 2), (4, 8, 2), (4, 20, 3)):
+    for block, giant, least in ((64, 4096, 2), (4, 4096, 2), (4, 8, 2), (4, 20, 3), (8, 16, 5)):
         got = {(r.s, r.lo, r.hi): (r.n_both, r.n_lo, r.n_hi, r.n_records) for r in pairs_together(df, "g", "r", "i", least, block, giant).collect()}
         assert got == brute(rows, least)
     assert pairs_together(df.where("false"), "g", "r", "i").collect() == []
@@ -53,6 +55,25 @@ def test_surprise_of_a_planted_pair(spark):
     assert abs(got["p", "q"].expected - 20 * 20 / 400) < 1
 
 
+def test_surprise_of_every_kind_of_pair(spark):
+    rows = baskets(5)
+    df = spark.createDataFrame(rows, ROW)
+    got = pairs_together(df, "g", "r", "i", 2).collect()
+    assert {(r.s, r.lo, r.hi) for r in got} == set(brute(rows, 2))
+    sets = {}
+    for g, r, i, *_ in rows:
+        if r is not None and i is not None:
+            sets.setdefault(g, {}).setdefault(r, set()).add(i)
+    for r in got:
+        sizes = Counter(len(x) for x in sets[r.s].values())
+        degrees = Counter(Counter(i for x in sets[r.s].values() for i in x).values())
+        d, z = sorted(degrees), sorted(sizes)
+        x, y = fit_null(np.array(d, float), np.array([degrees[k] for k in d], float), np.array(z, float), np.array([sizes[k] for k in z], float))
+        a, b, n = x[d.index(r.n_lo)] * y, x[d.index(r.n_hi)] * y, np.array([sizes[k] for k in z], float)
+        p = a / (1 + a) * b / (1 + b)
+        assert abs(r.expected - (n * p).sum()) < 1e-6 and abs(r.log_p - log_tail(np.array([r.n_both]), p[None], n)[0]) < 1e-6
+
+
 def test_null_keeps_degrees():
     items, n_items = np.array([1.0, 3, 40]), np.array([50.0, 20, 1])
     records, n_records = np.array([1.0, 2, 5]), np.array([60.0, 25, 8])
