@@ -9,7 +9,7 @@ import numpy as np
 
 from phasewright.llm.components import group_links, links_of_lists
 from phasewright.llm.cooccurrence import contigs_together, fit_null, log_tail, pairs_together
-from phasewright.llm.neardup import BKTree, graph_records, near_duplicates
+from phasewright.llm.neardup import BKTree, Forest, graph_records, near_duplicates
 
 ROW = "g string, r long, i string, s string, n_both long"
 
@@ -131,8 +131,8 @@ def member_rows(spark, sets, kind="k"):
 def test_near_duplicates(spark):
     sets = sets_of(4, 160)
     want = similar(sets, 0.7)
-    for tree, large in ((4096, 4096), (8, 4096), (16, 10)):
-        found = near_duplicates(member_rows(spark, sets), "kind", "id", "m", 0.7, tree, large)
+    for tree, large, forest in ((4096, 4096, 128), (8, 4096, 2), (16, 10, 4)):  # id 7 stands in two of three records
+        found = near_duplicates(member_rows(spark, sets), "kind", "id", "m", 0.7, tree, large, forest)
         assert {(r.id_lo, r.id_hi) for r in found.record_pairs().collect()} == want
         classes = {r.record_id: (r.class_id, r.copies, r.links) for r in found.classes().collect()}
         same = {k: min(j for j, y in sets if y == x) for k, x in sets}
@@ -163,6 +163,46 @@ def test_bk_tree():
     assert list(BKTree().within(1, 3)) == []
 
 
+def signature(ids):
+    sig = 0
+    for i in ids:
+        sig ^= 1 << random.Random(i).randrange(Forest.BITS)
+    return sig
+
+
+def test_forest_visits_few_nodes_and_loses_none():
+    r = random.Random(9)
+    share = {}
+    for n, size in ((5, 1500), (20, 1500), (50, 4096), (200, 600)):
+        sets = [set(r.sample(range(10**6), r.randint(max(1, n * 3 // 4), n))) for _ in range(size)]
+        for k in range(0, 300, 3):  # some are near
+            sets[k] = set(r.sample(sorted(sets[k + 1]), max(1, len(sets[k + 1]) * 19 // 20))) | {-k}
+        order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+        forest, before, found, asked = Forest(0.7), [], set(), 0
+        for k in order:
+            sig = signature(sets[k])
+            found |= {(min(k, j), max(k, j)) for _, j in forest.within(len(sets[k]), sig)}
+            asked += len(before)
+            forest.add(len(sets[k]), sig, k)
+            before.append(k)
+        assert {(a, b) for a, b in itertools.combinations(range(0, 300), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])} <= found
+        share[n] = forest.visited / asked
+    assert max(share[n] for n in (5, 20, 50)) <= 0.2, share  # beyond 90 ids a single tree is left, which visits nearly all
+
+
+def test_a_hot_id_is_cut_by_a_second(spark):
+    r = random.Random(10)
+    sets = []
+    for k in range(120):
+        base = {7, 8, *r.sample(range(100, 400), r.choice([1, 2, 4, 9, 20]))}
+        sets += [(3 * k, base), (3 * k + 1, base ^ {r.randint(100, 400)}), (3 * k + 2, base)]
+    sets = [(k, s) for k, s in sets if s] + [(1000, {7}), (1001, {8}), (1002, {7, 8})]
+    want = similar(sets, 0.7)
+    for tree, forest in ((4096, 128), (50, 16)):
+        got = near_duplicates(member_rows(spark, sets), "kind", "id", "m", 0.7, tree, 4096, forest).record_pairs()
+        assert {(x.id_lo, x.id_hi) for x in got.collect()} == want
+
+
 def test_graph_records(spark):
     bubbles = spark.createDataFrame([(1, [1, None, 2], None), (2, [], [3]), (3, None, None)], "bubble_id long, branch_a array<long>, branch_b array<long>")
     links = spark.createDataFrame([(9, 4), (9, None)], "graph_id long, source_id long")
