@@ -73,13 +73,13 @@ def chance(seed: str, key: Column) -> Column:
 
 
 def repetition_rates(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """How often each source is to be repeated: source, target_share, max_repeats, available, rate.
+    """How often each source is to be repeated: source, target_share, wanted_share, max_repeats, available, rate.
 
     ``available`` has source and tokens (one row per source), ``targets`` has
     source, target_share and max_repeats.  Targets of one source given more
     than once are added up, with the largest cap.  A source without tokens or
     with a share or cap that is null or not positive gets rate 0, and its
-    share is divided among the others in proportion.
+    share is divided among the others in proportion (``wanted_share``).
 
     Without ``total_tokens`` the total is the largest at which every source
     reaches its share within its cap.  With it, sources whose cap is too small
@@ -106,29 +106,34 @@ def repetition_rates(available: DataFrame, targets: DataFrame, total_tokens: int
         both = both.withColumn("try", (F.lit(float(total_tokens)) - used) / F.when(share_left > 1e-12, share_left))
         level = F.coalesce(F.min(F.when(F.col("try") <= F.col("full_at"), F.col("try"))).over(every), F.max("full_at").over(every))
     rate = F.least(level * F.col("share") / F.when(F.col("available") > 0, F.col("available")), F.col("max_repeats").cast("double"))
-    return both.withColumn("rate", F.when(F.col("share") > 0, rate).otherwise(0.0)).select("source", "target_share", "max_repeats", "available", "rate")
+    return both.withColumn("rate", F.when(F.col("share") > 0, rate).otherwise(0.0)).withColumn("wanted_share", F.when(F.col("share") > 0, F.col("share") / F.sum("share").over(every)).otherwise(0.0)).select("source", "target_share", "wanted_share", "max_repeats", "available", "rate")
 
 
 class Mixture:
     """``rates`` per source; ``copies``: doc, source, tokens, copies for every drawn document; ``shares``: what was reached."""
 
-    def __init__(self, rates: DataFrame, copies: DataFrame):
-        self.rates, self.copies = rates, copies
+    def __init__(self, rates: DataFrame, copies: DataFrame, pages: DataFrame, draws: Column):
+        self.rates, self.copies, self._pages, self._draws = rates, copies, pages, draws
 
     def emitted(self) -> DataFrame:
-        """One row per copy: doc, source, tokens, copy_no from 1."""
-        each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")
-        return self.copies.select("doc", "source", "tokens", each)
+        """The mixture itself, one row per copy: doc, source, copy_no from 1, text.
+
+        How often a document comes depends on its id and its source's rate
+        alone, so the texts meet the rates (one row per source) and are not
+        shuffled.
+        """
+        drawn = self._pages.where("text <> ''").join(self.rates.select("source", "rate"), "source").withColumn("copies", self._draws).where("copies > 0")
+        return drawn.select("doc", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "text")
 
     def shares(self) -> DataFrame:
-        """Per target source: what was available, the rate, documents and copies drawn, their tokens and the share reached."""
+        """Per target source: its target and the share it was to have once sources without tokens gave theirs away, what was available, the rate, what was drawn, and the share reached."""
         per = self.copies.groupBy("source").agg(
             F.count(F.lit(1)).alias("docs"), F.sum("copies").cast("long").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).cast("long").alias("drawn_tokens"),
             F.max("copies").alias("most_copies"),
         )
         zero = F.lit(0)
         out = self.rates.join(per, "source", "left").select(
-            "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), "rate",
+            "source", "target_share", "wanted_share", "max_repeats", F.col("available").alias("available_tokens"), "rate",
             *[F.coalesce(c, zero).cast("long").alias(c) for c in ("docs", "copies", "drawn_tokens", "most_copies")],
         )
         total = F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0)))
@@ -148,14 +153,14 @@ def mix_sources(
     without tokens, without a source, or of a source that is no target are
     not drawn.  Repeated ids are documents of their own with the same fate.
     """
-    sized = count_tokens(documents.select(F.col(doc).alias("doc"), source_label(F.col(source)).alias("source"), F.col(text).alias("text")), "text", path)
-    sized = keep(sized).df
+    pages = documents.select(F.col(doc).alias("doc"), source_label(F.col(source)).alias("source"), F.col(text).alias("text"))
+    sized = keep(count_tokens(pages, "text", path)).df
     available = sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("tokens"))
     rates = keep(repetition_rates(available, targets, total_tokens)).df
     rate = F.col("rate")
-    n = F.floor(rate) + F.when(chance(seed, F.col("doc")) < rate - F.floor(rate), 1).otherwise(0)
-    drawn = sized.join(rates.select("source", "rate"), "source").where("tokens > 0").select("doc", "source", "tokens", n.cast("int").alias("copies"))
-    return Mixture(rates, drawn.where("copies > 0"))
+    n = (F.floor(rate) + F.when(chance(seed, F.col("doc")) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    drawn = sized.join(rates.select("source", "rate"), "source").where("tokens > 0").select("doc", "source", "tokens", n.alias("copies"))
+    return Mixture(rates, drawn.where("copies > 0"), pages, n)
 
 
 def tokenizer_file(name: str = VOCABULARY, folder: str = TOKENIZERS) -> str:

@@ -62,7 +62,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """The drawn pages with the number of copies of each."""
+    """The mixture: every copy of every drawn page, with its text."""
+    return mix_sources(load(spark, sf, "documents"), load(spark, sf, "mix_targets")).emitted().withColumnRenamed("doc", "doc_id")
+
+
+def p7_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn pages with their tokens and the number of copies of each."""
     return mix_sources(load(spark, sf, "documents"), load(spark, sf, "mix_targets")).copies.withColumnRenamed("doc", "doc_id")
 
 
@@ -85,7 +90,7 @@ def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    q.__name__: q for q in (p1_found, p1_pairs, p1_surprising, p1_counts, p2_found, p2_classes, p3_found, p6_found, p7_mixture, p7_shares, p8_found, p8_scores)
+    q.__name__: q for q in (p1_found, p1_pairs, p1_surprising, p1_counts, p2_found, p2_classes, p3_found, p6_found, p7_mixture, p7_copies, p7_shares, p8_found, p8_scores)
 }
 
 P1_SQL = """

@@ -202,7 +202,11 @@ def test_mixture(spark):
     shares = {x.source: x for x in mix.shares().collect()}
     assert all(abs(x.actual_share - x.target_share) < 0.03 and x.most_copies <= x.max_repeats for x in shares.values())
     copies = {x.doc: x.copies for x in mix.copies.collect()}
-    assert not {9001, 9002} & set(copies) and mix.emitted().count() == sum(copies.values())
+    assert not {9001, 9002} & set(copies)
+    text = {d: t for d, t, _, _ in docs}
+    emitted = mix.emitted().collect()
+    assert sorted((x.doc, x.copy_no) for x in emitted) == sorted((d, k + 1) for d, n in copies.items() for k in range(n)) and all(x.text == text[x.doc] for x in emitted)
+    assert all(abs(x.wanted_share - x.target_share) < 1e-9 for x in shares.values())
     assert {x.doc: x.copies for x in mix_sources(pages, targets).copies.collect()} == copies
     assert mix_sources(pages.where("false"), targets).shares().where("drawn_tokens > 0").count() == 0
     u = [x[0] for x in spark.range(2000).select(chance("s", F.col("id"))).collect()]
