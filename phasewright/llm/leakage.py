@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +36,8 @@ DENSITY = 0.88
 READ, MISREAD = 0.75, 3
 #: Windows and letters worked on at a time, and windows that stay in a processor's cache.
 SLICE, LETTERS, CACHED = 200_000, 2_000_000, 16_000
-#: Items that one index holds; more are probed in blocks of that many.
-ITEMS = 2000
+#: Items that one index holds, and indexes that one pass over the pages probes; more items take more passes.
+ITEMS, INDEXES = 2000, 8
 SEED = 20240229
 
 # Signs a scanner takes for each other, as one sign each; then groups of signs.
@@ -109,6 +110,13 @@ class Letters:
         self.starts = np.flatnonzero(first[is_letter])
         upto = np.concatenate(([0], np.cumsum(is_letter)))
         self.ends = upto[np.minimum(np.cumsum([len(x) + 1 for x in parts]), len(raw))] if parts else np.empty(0, np.int64)
+        self._sketches: dict[int, np.ndarray] = {}
+
+    def sketches(self, part: int) -> np.ndarray:
+        """Sketches of the windows from place ``part`` on, ``SLICE`` of them; made once for all indexes."""
+        if part not in self._sketches:
+            self._sketches[part] = sketch(self.codes, self.starts[part : part + SLICE])
+        return self._sketches[part]
 
 
 def grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -252,10 +260,10 @@ class ItemIndex:
             mine.append(owns[np.repeat(lo - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())])
         return (np.concatenate(texts), np.concatenate(mine)) if texts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``starts``, window of an item) of all windows that share a sample."""
+    def candidates(self, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the sketched windows, window of an item) of all windows that share a sample."""
         pages, mine = [], []
-        for k, h in enumerate(sketch(codes, starts)):
+        for k, h in enumerate(sketches):
             maybe = np.flatnonzero(self.seen[(h >> np.uint64(20)).astype(np.int64) & ((1 << self.BITS) - 1)])
             lo, hi = np.searchsorted(self.hashes[k], h[maybe], "left"), np.searchsorted(self.hashes[k], h[maybe], "right")
             n = hi - lo
@@ -276,7 +284,7 @@ class ItemIndex:
         at, mine = [], []
         for part in range(0, len(pages.starts), SLICE):
             starts = pages.starts[part : part + SLICE]
-            here, window = self.candidates(pages.codes, starts)
+            here, window = self.candidates(pages.sketches(part))
             for some in range(0, len(here), SLICE):
                 p, w = starts[here[some : some + SLICE]], window[some : some + SLICE]
                 near = edits(own[self.start[w][:, None] + np.arange(WINDOW)], pad[p[:, None] + np.arange(WINDOW + EDITS)]) <= EDITS
@@ -284,9 +292,9 @@ class ItemIndex:
                 mine.append(w[near])
         return (np.concatenate(at), np.concatenate(mine)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    def leaks(self, texts: list[str] | Letters) -> Iterator[tuple[int, int, int, int, int]]:
         """(place of the text, item, longest run, words held, words of the item) where windows or rare letters tie a text to an item."""
-        pages = Letters(*texts)
+        pages = texts if isinstance(texts, Letters) else Letters(*texts)
         p, w = self.verified(pages)
         also, of = self.tied(pages)
         text, owner = np.searchsorted(pages.ends, p, "right"), self.owner[w]
@@ -569,8 +577,8 @@ def printed_words(held: list[np.ndarray], least: int = RUN_WORDS) -> int:
     return int(printed.sum())
 
 
-def _probe(index: ItemIndex, run: int, share: float, opening: int):
-    """Pages in groups of about ``LETTERS`` signs against one index."""
+def _probe(indexes: list[ItemIndex], run: int, share: float, opening: int):
+    """Pages in groups of about ``LETTERS`` signs against some indexes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -579,9 +587,11 @@ def _probe(index: ItemIndex, run: int, share: float, opening: int):
             groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // LETTERS)) + 1)
             out = []
             for group in groups:
-                for t, item, longest, held, words in index.leaks([texts[g] for g in group]):
-                    if longest >= run and held >= share * (words + opening):
-                        out.append((docs[group[t]], item, longest, held, words + opening))
+                pages = Letters(*[texts[g] for g in group])
+                for index in indexes:
+                    for t, item, longest, held, words in index.leaks(pages):
+                        if longest >= run and held >= share * (words + opening):
+                            out.append((docs[group[t]], item, longest, held, words + opening))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "run", "held", "words"])
 
@@ -618,7 +628,8 @@ def leaked_items(
     The sentence with which all items open is left out of the search but
     counts among the words of an item.  Null or empty texts hold nothing, and
     items without a window are never found.  Items are indexed in blocks of
-    ``block``; each block is one pass over the pages without a shuffle.
+    ``block``; ``INDEXES`` blocks are one pass over the pages without a shuffle, in
+    which the pages' windows are sketched once.
     """
     spark: SparkSession = documents.sparkSession
     own = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
@@ -628,8 +639,9 @@ def leaked_items(
     schema = "doc_id long, item_id long, run long, held long, words long"
     found = spark.createDataFrame([], schema)
     blocks = -(-n // block)
-    for b in range(blocks):
-        mine = own if blocks == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        index = ItemIndex.of([(r.i, r.t) for r in mine.sort("i").collect()], opening)
-        found = found.unionByName(pages.mapInArrow(_probe(index, run, share, opening), schema))
+    number = F.pmod(F.xxhash64("i"), F.lit(max(blocks, 1)))
+    for b in range(0, blocks, INDEXES):
+        some = own.withColumn("b", number).where((F.col("b") >= b) & (F.col("b") < b + INDEXES)).sort("b", "i").collect()
+        indexes = [ItemIndex.of([(r.i, r.t) for r in rows], opening) for _, rows in itertools.groupby(some, lambda r: r.b)]
+        found = found.unionByName(pages.mapInArrow(_probe(indexes, run, share, opening), schema))
     return found.distinct()
