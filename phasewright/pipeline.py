@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import os
 import sys
 
@@ -18,7 +19,7 @@ from phasewright.operators import names as N
 from phasewright.operators import phase as P
 from phasewright.operators import unzip as U
 from phasewright.plans.shipping import ship
-from phasewright.plans.tables import is_empty, keep
+from phasewright.plans.tables import is_empty, keep, release
 from phasewright.sources import bam, writers
 from phasewright.sources.fasta import parse_fasta
 from phasewright.sources.gfa import parse_links, parse_segments
@@ -75,6 +76,16 @@ def find_alts(spark: SparkSession, nodes: DataFrame, edges: DataFrame, mode: str
     return B.unlabelled_alts(keep(found).df, edges, nodes, k, size, threshold)
 
 
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, total): the rows of a run's tables, the weight of its contacts, nodes per phase and chains per part."""
+    count = F.count(F.lit(1))
+    parts = [tables[name].agg(count.alias("total")).select(F.lit(name).alias("name"), "total") for name in ("nodes", "edges", "contacts", "alts", "locked", "segments", "links")]
+    parts.append(tables["contacts"].agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("total")).select(F.lit("contact weight").alias("name"), "total"))
+    parts.append(tables["phases"].groupBy("phase").agg(count.alias("total")).select(F.format_string("nodes of phase %d", F.col("phase").cast("int")).alias("name"), "total"))
+    parts.append(tables["chains"].where("pos = 0").groupBy("part").agg(count.alias("total")).select(F.format_string("chains of part %d", "part").alias("name"), "total"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     """All stages; writes the outputs and returns the tables behind them."""
     fasta = parse_fasta(read_lines(spark, a.fasta)) if a.fasta else None
@@ -105,7 +116,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     for part, name in enumerate(writers.FILES):
         writers.write_lines(writers.haplotype_fasta(sequences, part), f"{at}.{name}.fasta")
     writers.phase_labels(nodes, phases).write.mode("overwrite").csv(f"{at}.labels.csv", header=True)
-    return {"nodes": nodes, "edges": edges, "contacts": contacts, "alts": alts, "phases": phases, "chains": chains, "segments": segments, "links": links, "sequences": sequences}
+    out = {"nodes": nodes, "edges": edges, "contacts": contacts, "alts": alts, "locked": locked, "phases": phases, "chains": chains, "segments": segments, "links": links, "sequences": sequences}
+    return out | {"totals": totals(out)}
 
 
 def main(args: list[str] | None = None) -> int:
@@ -117,7 +129,9 @@ def main(args: list[str] | None = None) -> int:
     try:
         spark = SparkSession.builder.appName("phasewright").getOrCreate()
         ship(spark)
-        run(spark, a)
+        for row in run(spark, a)["totals"].sort("name").collect():
+            print(f"{row['name']}: {row['total']}")
+        release(spark)
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)
         return 1

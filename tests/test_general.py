@@ -34,6 +34,11 @@ def test_strongest_partner(spark, support):
     assert len(got) == len({r.u for r in got})
 
 
+def test_a_heavy_pair(spark):
+    rows = [(k if k % 2 else None, 1, 2, 1, "x") for k in range(3000)] + [(9000 + k, 1, 3, 2, "x") for k in range(10)] + [(9100 + k, k % 50 + 2, 1, 1, "x") for k in range(300)]
+    assert {tuple(r) for r in strongest_partner(spark.createDataFrame(rows, ENTRY)).collect()} == best(rows)
+
+
 def test_strongest_partner_empty(spark):
     assert strongest_partner(spark.createDataFrame([], ENTRY)).collect() == []
 

@@ -1,6 +1,7 @@
 """File formats, graph tables, contacts and naming on small inputs."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -10,8 +11,9 @@ from phasewright.functions.text import cigar_length, phase_suffix, reverse_compl
 from phasewright.operators import contacts as C
 from phasewright.operators import graph as G
 from phasewright.operators import names as N
-from phasewright.operators.evaluate import assignments, parse_report, readable_length
+from phasewright.operators.evaluate import assignments, evaluation_lines, evaluation_table, parse_report, readable_length, readable_value, wide_metrics
 from phasewright.pipeline import load_graph
+from phasewright.plans.tables import keep, shared_dir
 from phasewright.sources import bam
 from phasewright.sources.fasta import fasta_lines, parse_fasta
 from phasewright.sources.gfa import parse_links, parse_segments
@@ -83,6 +85,41 @@ SAM = "@SQ\tSN:a\nr1\t99\ta\t1\t60\t5M\tb\t9\t0\t*\t*\nr1\t147\tb\t9\t60\t5M\ta\
 )
 
 
+def test_components_of_random_graphs(spark):
+    r = random.Random(4)
+    links = [(g, r.randrange(300), r.randrange(300)) for g in (1, 2) for _ in range(170)] + [(3, k, k + 1) for k in range(500)] + [(4, 0, k) for k in range(1, 200)] + [(5, 7, 7), (5, 8, None), (None, 1, 2)]
+    nodes = [(5, 9), (5, None), (1, 900), (None, 3)]
+    want = {}
+    for g, *ends in links + nodes:
+        for x in ends:
+            if g is not None and x is not None:
+                want[g, x] = x
+    changed = True
+    while changed:
+        changed = False
+        for g, u, v in links:
+            if None not in (g, u, v) and want[g, u] != want[g, v]:
+                want[g, u] = want[g, v] = min(want[g, u], want[g, v])
+                changed = True
+    e = spark.createDataFrame(links, "graph_id long, src long, dst long")
+    got = {(x.graph_id, x.node_id): x.component for x in G.weak_components(spark.createDataFrame(nodes, "graph_id long, node_id long"), e).collect()}
+    assert got == want
+    none = e.where("false")
+    assert G.weak_components(none.select("graph_id", F.col("src").alias("node_id")), none).collect() == []
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
+    far.conf.get = lambda *a: "hdfs:///shared/"
+    assert shared_dir(far) == "hdfs:///shared"
+    kept = keep(spark.range(5), n=F.count(F.lit(1)))
+    assert kept.stats["n"] == 5 and kept.df.count() == 5 and spark.sparkContext.applicationId in kept.path
+
+
 def test_contacts(spark):
     records = parse_sam(lines_of(spark, SAM + "r9\t65\tq\t1\t0\t5M\tb\t3\t0\t*\t*\n"))
     assert contact_records(records).count() == 5
@@ -156,8 +193,25 @@ def test_fasta(spark):
 
 def test_evaluation(spark):
     report = parse_report(lines_of(spark, "Assembly\tx\n# contigs\t12\nN50\tn/a\nUnknown\t3\n# contigs\t13\nalone"))
-    assert {r.metric: (r.raw, r.value) for r in report.collect()} == {"contigs": ("13", 13.0), "N50": ("n/a", None)}
+    assert {r.metric: (r.raw, r.value) for r in report.collect()} == {"contig_count": ("13", 13.0), "half_length": ("n/a", None)}
     rows = [("t", p, r, g, 0.0, 0.0) for p, r, g in ((0, "pat", 90.0), (1, "mat", 80.0), (0, "mat", 10.0), (1, "pat", None))] + [("u", 0, "pat", 1.0, 1.0, 1.0)]
     got = {r.tool: r.phase0_parent for r in assignments(spark.createDataFrame(rows, "tool string, phase int, ref string, genome_fraction double, mismatches double, indels double")).collect()}
     assert got == {"t": "PATERNAL", "u": "?"}
     assert [r[0] for r in spark.createDataFrame([(2_500_000,), (None,)], "n long").select(readable_length(F.col("n"))).collect()] == ["2.50 Mb", "-"]
+
+
+def test_evaluation_report(spark):
+    figures = {("x", 0, "pat"): 90, ("x", 1, "mat"): 80, ("x", 0, "mat"): 20, ("x", 1, "pat"): 30, ("y", 0, "pat"): 10, ("y", 1, "mat"): 10, ("y", 0, "mat"): 60, ("y", 1, "pat"): 50.5, ("z", 0, "pat"): 99}
+    lines = [(*key, k, v) for key, g in figures.items() for k, v in enumerate(["junk", "N50\t1", f"Genome fraction (%)\t{g}", "N50\t2500000", "# mismatches per 100 kbp\t0", "# indels per 100 kbp\t-", "Total length\t"])]
+    parsed = parse_report(spark.createDataFrame(lines, "tool string, phase int, ref string, line_no int, value string"), "tool", "phase", "ref")
+    wide = wide_metrics(parsed, "tool", "phase", "ref")
+    table = {(r.tool, r.phase, r.ref): r for r in evaluation_table(wide).collect()}
+    assert len(table) == 9 and table["x", 0, "pat"].parent == "PATERNAL" and table["x", 1, "pat"].parent == "MATERNAL" and table["y", 0, "mat"].parent == "MATERNAL" and table["z", 0, "pat"].parent == "?"
+    assert [table[t, 0, "pat"].place for t in "xyz"] == [1, 2, 3]
+    row = table["y", 1, "pat"]
+    assert (row.genome_fraction, row.half_length, row.mismatches, row.indels, row.assembly_bases) == ("50.500", "2.50 Mb", "0", "-", "-")
+    text = {(r.tool, r.line_no): r.line for r in evaluation_lines(evaluation_table(wide)).collect()}
+    assert text["x", 0] == "1. x: phase 0 PATERNAL, phase 1 MATERNAL" and text["z", 2] == "  phase 0 against mat: no data" and "genome_fraction 50.500" in text["y", 3] and len(text) == 15
+    v = spark.createDataFrame([(3.0,), (2.5,), (None,)], "v double")
+    assert [r[0] for r in v.select(readable_value(F.col("v"))).collect()] == ["3", "2.500", "-"]
+    assert evaluation_table(wide.where("false")).collect() == []

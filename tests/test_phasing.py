@@ -117,6 +117,17 @@ def test_superbubbles_against_the_definition():
         assert want <= got, (pairs, want, got)
 
 
+def test_interleaved_components_change_no_bubble(spark):
+    """Two graphs whose node ids alternate give the bubbles of each one alone."""
+    shape = SNP + LONG + NESTED + [(21, 5), (30, 31)]
+    ids = [lambda n: 2 * n, lambda n: 2 * n + 1]
+    alone = [B.superbubbles(edges_of(spark, [(f(u), f(v)) for u, v in shape])).drop("emit_seq").collect() for f in ids]
+    both = B.superbubbles(edges_of(spark, [(f(u), f(v)) for u, v in shape for f in ids]))
+    assert sorted(both.drop("emit_seq").collect()) == sorted(alone[0] + alone[1])
+    assert sorted(r.emit_seq for r in both.collect()) == list(range(both.count()))
+    assert B.superbubbles(edges_of(spark, SNP).where("false")).collect() == []
+
+
 def test_alts(spark):
     a, b = "ACGTTGCATCAGGCTAACGGT", "TTGACCAGTAGACCATAGCCA"
     nodes = spark.createDataFrame([(k, {1: a, 2: a, 5: a, 6: b}.get(k, ""), 21) for k in range(12)], "node_id long, seq string, length long")
@@ -217,6 +228,46 @@ def test_chains(spark):
     assert links.where("is_synthetic").count() == 0 and links.count() == 8
 
 
+def walked(nodes, edges, weight):
+    """Greedy chains of a whole haplotype, by one walk through it."""
+    succ, into, seen, out = {}, {v for _, v in edges}, set(), []
+    for u, v in edges:
+        succ.setdefault(u, []).append(v)
+    for seed in [u for u in sorted(nodes) if u not in into] + sorted(nodes):
+        walk, u = [], seed
+        while u is not None and u not in seen:
+            seen.add(u)
+            walk.append(u)
+            free = [v for v in succ.get(u, []) if v not in seen]
+            u = min(free, key=lambda v, u=u: (-weight.get((min(u, v), max(u, v)), 0), v), default=None)
+        if walk:
+            out.append(walk)
+    return out
+
+
+def test_chains_by_component_are_those_of_one_walk(spark):
+    r = random.Random(6)
+    nodes = list(range(60))
+    edges = sorted({(r.randrange(60), r.randrange(60)) for _ in range(45)} | {(5, 5), (59, 59)})
+    weight = {tuple(sorted(r.sample(nodes, 2))): r.randint(1, 4) for _ in range(300)}
+    members = spark.createDataFrame([(g, p, n) for g in (3, -1) for p in (0, 1) for n in nodes], "graph_id long, part int, node_id long")
+    kept = spark.createDataFrame([(g, p, u, v, k) for g in (3, -1) for p in (0, 1) for k, (u, v) in enumerate(edges)], "graph_id long, part int, src long, dst long, edge_ord long")
+    contacts = spark.createDataFrame([(u, v, w) for (u, v), w in weight.items()], "u long, v long, w long")
+    want = walked(nodes, edges, weight)
+    got = {}
+    for g, p, c, k, n in rows(H.chains(members, kept, contacts)):
+        got.setdefault((g, p), {}).setdefault(c, []).append((k, n))
+    assert set(got) == {(g, p) for g in (3, -1) for p in (0, 1)}
+    for chains in got.values():
+        assert [[n for _, n in sorted(chains[c])] for c in sorted(chains)] == want and sorted(chains) == list(range(len(want)))
+    exact = {}
+    for g, p, c, _, n in rows(H.chains(members, kept, contacts, True)):
+        exact.setdefault((g, p, c), set()).add(n)
+    first = [min(exact[3, 0, c]) for c in range(len({c for g, p, c in exact if (g, p) == (3, 0)}))]
+    assert first == sorted(first) and not {(u, v) for u, v in edges for s in exact.values() if (u in s) != (v in s)}
+    assert H.chains(members.where("false"), kept.where("false"), contacts).collect() == []
+
+
 def test_stitching(spark):
     chain = spark.createDataFrame([(0, 0, 0, k, n, r) for k, (n, r) in enumerate([(1, False), (2, True), (3, False), (4, False)])], "graph_id long, part int, chain_idx long, pos long, node_id long, reverse boolean")
     nodes = spark.createDataFrame([(1, "AACC"), (2, "GTTT"), (3, "AC"), (4, "GG")], "node_id long, seq string")
@@ -241,6 +292,9 @@ def test_pipeline(spark, tmp_path):
     name = {r.node_id: int(r["name"][1:]) for r in out["nodes"].collect()}
     phase = {name[n]: p for n, p in rows(out["phases"])}
     assert phase[1] + phase[2] == 1 and phase[5] == phase[7] == phase[1] and phase[6] == phase[8] == phase[2]
+    total = {r["name"]: r["total"] for r in out["totals"].collect()}
+    assert total["nodes"] == len(used) and total["edges"] == 2 * len(pairs) and total["contact weight"] == 6 and total["segments"] == out["segments"].count() and total["locked"] == 0
+    assert sorted(r.seg_idx for r in out["segments"].collect()) == list(range(out["segments"].count()))
     kinds = sorted(p.name for p in (tmp_path / "out").iterdir())
     assert kinds == ["g.chained.gfa", "g.labels.csv", "g.phase_0.fasta", "g.phase_1.fasta", "g.unphased.fasta", "g.unzipped.gfa"]
     text = lambda n: "".join(p.read_text() for p in sorted((tmp_path / "out" / n).glob("part-*")))
