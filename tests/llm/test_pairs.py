@@ -6,8 +6,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from phasewright.llm.components import group_links, links_of_lists
+from phasewright.llm.components import group_links, links_of_lists, shuffled, unshuffled
 from phasewright.llm.cooccurrence import contigs_together, fit_null, log_tail, pairs_together
 from phasewright.llm.neardup import BKTree, Forest, graph_records, near_duplicates
 
@@ -233,6 +234,14 @@ def test_group_links(spark):
     assert group_links(spark.createDataFrame([], "kind string, a long, b long"), "kind", "a", "b").collect() == []
 
 
+def test_numbers_are_shuffled_one_to_one(spark):
+    ids = spark.range(3000).select((F.col("id") * 7 - 9000).alias("n")).unionByName(spark.createDataFrame([(2**63 - 1,), (-(2**63),), (2**32,)], "n long"))
+    got = ids.select("n", shuffled(F.col("n")).alias("x")).select("n", "x", unshuffled(F.col("x")).alias("back")).collect()
+    assert all(r.n == r.back for r in got) and len({r.x for r in got}) == len(got)
+    up = sum(a.x < b.x for a, b in itertools.pairwise(got))
+    assert 0.4 < up / len(got) < 0.6
+
+
 def test_links_of_lists(spark):
     lists = spark.createDataFrame([("b", [3, 1, None, 3]), ("b", []), ("b", None), ("b", [7]), ("b", [None])], "kind string, ids array<long>")
     assert sorted(tuple(r) for r in links_of_lists(lists, "kind", "ids").collect()) == [("b", 1, 1), ("b", 1, 3), ("b", 7, 7)]
