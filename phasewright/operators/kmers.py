@@ -118,6 +118,102 @@ def trio_scores(nodes: DataFrame, paternal: DataFrame, maternal: DataFrame, k: i
     return nodes.select("node_id").join(hit, "node_id", "left").select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pat_count", "mat_count")])
 
 
+PATERNAL, MATERNAL, SCORED = 1, 2, 4
+#: Bases, or windows, that are worked on at once.
+AT_ONCE = 1 << 19
+MINIMIZER = 11
+
+
+def sequence_scores(nodes: DataFrame, marked: DataFrame, k: int = 31) -> DataFrame:
+    """(node_id, pat_count, mat_count) as ``trio_scores``, from sequences instead of sets of k-mers.
+
+    ``marked``: node_id, seq, mark; each sequence is read once.  The bits of
+    mark say what it is: ``PATERNAL`` and ``MATERNAL`` that its k-mers are a
+    parent's, ``SCORED`` that its windows count for its node.  Instead of a row
+    a k-mer, the runs of windows with an equal minimizer are shuffled, packed
+    at two bits a base and put together by minimizer class, of which there are
+    16 for each shuffle partition; a class has all that its k-mers meet.
+    """
+    classes = 16 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = marked.select(F.coalesce(F.col("node_id").cast("long"), F.lit(0)).alias("node_id"), F.coalesce("seq", F.lit("")).alias("seq"), F.when(F.col("node_id").isNull(), F.col("mark").bitwiseAND(PATERNAL | MATERNAL)).otherwise(F.col("mark")).cast("int").alias("mark"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _classed(batch, k, classes)
+
+    def meet(table: pa.Table) -> pa.Table:
+        return _met(table, k)
+
+    pieces = one.where(F.col("mark") > 0).where(F.length("seq") >= k).mapInArrow(cut, "class int, nodes array<long>, runs array<long>, bases binary")
+    hit = pieces.groupBy("class").applyInArrow(meet, "node_id long, pat_count long, mat_count long").groupBy("node_id").agg(F.sum("pat_count").alias("pat_count"), F.sum("mat_count").alias("mat_count"))
+    return nodes.select("node_id").join(hit, "node_id", "left").select("node_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pat_count", "mat_count")])
+
+
+def _classed(batch: pa.RecordBatch, k: int, classes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (class, nodes, runs, bases) of a batch of (node_id, seq, mark): the runs of a class, with 8 x windows + mark of each, and their bases."""
+    seqs = [s.encode() for s in batch.column("seq").to_pylist()]
+    data = np.frombuffer(b"".join(seqs), np.uint8)  # letters of more than one byte are ambiguous in each
+    ends = np.cumsum([len(s) for s in seqs])
+    node, mark = batch.column("node_id").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
+    for at in range(0, len(data), AT_ONCE):
+        base = K.bases(data[at : at + AT_ONCE + k - 1])
+        owner = np.searchsorted(ends, np.arange(at, at + len(base)), side="right")
+        start, windows, low = K.runs(base, owner, k, min(k, MINIMIZER))
+        if not len(start):
+            continue
+        of = (low % np.uint64(classes)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        start, windows, of = start[order], windows[order], of[order]
+        own, length = owner[start], windows + k - 1
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        edges = np.append(first, len(of)).astype(np.int32)
+        edge_bytes = np.concatenate(([0], np.cumsum((length + 3) // 4)))[edges].astype(np.int32)
+        rows = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x, pa.int64()))  # noqa: B023, E731
+        bases = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edge_bytes), pa.py_buffer(K.packed(base, start, length))])
+        yield pa.RecordBatch.from_arrays([pa.array(of[first]), rows(node[own]), rows(8 * windows + mark[own]), bases], names=["class", "nodes", "runs", "bases"])
+
+
+def _met(table: pa.Table, k: int) -> pa.Table:
+    """(node_id, pat_count, mat_count) of one class, from its parents' k-mers; the runs are unpacked part by part."""
+    node, runs = (pa.concat_arrays([c.flatten() for c in table.column(x).chunks]).to_numpy() for x in ("nodes", "runs"))
+    windows, mark = runs >> 3, runs & 7
+    ends = np.cumsum((windows + k + 2) // 4)
+    data = np.frombuffer(b"".join(table.column("bases").to_pylist()), np.uint8)
+    parts = np.flatnonzero(np.diff(np.concatenate(([-1], (np.cumsum(windows) - 1) // AT_ONCE))))
+
+    def part(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k-mers of the runs from i to j, and the run of each."""
+        begin = ends[i - 1] if i else 0
+        codes = np.minimum(*K.window_codes(K.unpacked(data[begin : ends[j - 1]]), k))
+        w = windows[i:j]
+        own = np.repeat(np.arange(i, j), w)
+        first = 4 * (np.concatenate(([begin], ends[i : j - 1])) - begin)
+        return codes[np.repeat(first - np.cumsum(w) + w, w) + np.arange(len(own))], own
+
+    spans = list(zip(parts, [*parts[1:], len(runs)], strict=True))
+    held = [part(*spans[0])] if len(spans) == 1 else None
+    each = lambda: held or (part(i, j) for i, j in spans)
+    sets: list[list[np.ndarray]] = [[], []]
+    for codes, own in each():
+        for found, bit in zip(sets, (PATERNAL, MATERNAL), strict=True):
+            found.append(np.unique(codes[mark[own] & bit > 0]))
+    pat, mat = (np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for x in sets)
+    known = np.union1d(pat, mat)
+    counts = np.zeros((2, len(runs)), np.int64)
+    if len(known):
+        among = np.stack([np.isin(known, x, assume_unique=True) for x in (pat, mat)])
+        for codes, own in each():
+            scored = mark[own] & SCORED > 0
+            codes, own = codes[scored], own[scored]
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            same = known[at] == codes
+            counts += [np.bincount(own[same & x[at]], minlength=len(runs)) for x in among]
+    some = counts.any(axis=0)
+    ids, place = np.unique(node[some], return_inverse=True)
+    total = [np.bincount(place, weights=c[some], minlength=len(ids)).astype(np.int64) for c in counts]
+    return pa.table({"node_id": pa.array(ids, pa.int64()), "pat_count": total[0], "mat_count": total[1]})
+
+
 def trio_locks(scores: DataFrame, phasing: DataFrame, lock_ratio: float = 0.8, min_total: int = 1) -> DataFrame:
     """(node_id, phase) of the phasing nodes that one parent's k-mers dominate: 0 paternal, else 1 maternal."""
     total = F.col("pat_count") + F.col("mat_count")

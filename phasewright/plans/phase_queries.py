@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewright.operators import bubbles as B
@@ -92,8 +92,17 @@ def trio_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _trio(spark, sf)
 
 
+def _marked(spark: SparkSession, sf: str, nodes: DataFrame, scored: Column) -> DataFrame:
+    """``nodes`` with the mark of ``sequence_scores``: whose parents' k-mers they give, and whether they are scored."""
+    bit = lambda p, value: F.max(F.when(F.col("phase") == p, value).otherwise(0))
+    parents = load(spark, sf, "uz_segments").where("src_id IS NOT NULL AND phase IN (0, 1)").groupBy(F.col("src_id").alias("node_id")).agg((bit(0, K.PATERNAL) + bit(1, K.MATERNAL)).alias("parents"))
+    return nodes.join(parents, "node_id", "left").select("node_id", "seq", (F.coalesce("parents", F.lit(0)) + F.when(scored, K.SCORED).otherwise(0)).alias("mark"))
+
+
 def trio_locks(spark: SparkSession, sf: str) -> DataFrame:
-    return K.trio_locks(_trio(spark, sf), D.alts(spark, sf))
+    alts = D.alts(spark, sf).select("node_id")
+    nodes = D.nodes(spark, sf).join(alts.withColumn("phasing", F.lit(True)), "node_id", "left")
+    return K.trio_locks(K.sequence_scores(alts, _marked(spark, sf, nodes, F.col("phasing")), K_TRIO), alts)
 
 
 def free_pairs(spark: SparkSession, sf: str) -> DataFrame:

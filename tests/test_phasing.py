@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from phasewright.operators import kmers as K
 from phasewright.operators import phase as P
 from phasewright.operators import unzip as U
 from phasewright.pipeline import main, parser, run
+from phasewright.plans import phase_queries as Q
 
 
 def rows(df):
@@ -54,6 +56,69 @@ def test_similarity_and_trio(spark):
     assert rows(K.trio_locks(by_hand, by_hand)) == [(6, 0), (7, 1)]
 
 
+PAT, MAT, SCORED = 1, 2, 4
+
+
+def test_runs_score_as_kmer_sets(spark):
+    """Strands, letter cases, ambiguous letters, repeats, nodes without windows: as with sets of k-mers."""
+    random.seed(5)
+    core = "".join(random.choice("ACGT") for _ in range(400))
+    marked = [(None, core[:100], PAT | SCORED), (None, "A" * 50, MAT)]
+    for n in range(60):
+        s = core[(i := random.randrange(350)) : i + random.randrange(120)]
+        s = random.choice([s, revcomp(s), s.lower(), s[:20] + random.choice("N漢") + s[20:], s * 3, "AT" * 40, "T" * 40])
+        marked.append((n, s, random.choice([0, PAT, MAT, SCORED, SCORED, PAT | SCORED, PAT | MAT | SCORED])))
+    marked += [(100, "ACGT", SCORED), (101, "", SCORED), (102, None, SCORED | MAT)]
+    df = spark.createDataFrame(marked, "node_id long, seq string, mark int")
+    nodes = df.where(F.col("node_id").isNotNull())
+    for k in (5, 31):
+        parents = [K.kmer_set(df.where(F.col("mark").bitwiseAND(bit) > 0), k) for bit in (PAT, MAT)]
+        want = {n: (p, m) for n, p, m in rows(K.trio_scores(nodes, *parents, k))}
+        got = {n: (p, m) for n, p, m in rows(K.sequence_scores(nodes, df, k))}
+        assert got == {n: want[n] if mark & SCORED else (0, 0) for n, _, mark in marked if n is not None}
+        assert sum(map(sum, got.values())) > 0
+    assert rows(K.sequence_scores(nodes, df.where("false"), 31)) == [(n, 0, 0) for n, _, _ in marked if n is not None]
+
+
+def test_runs_in_parts(monkeypatch):
+    """Sequences longer than what is worked on at once lose no window where they are cut."""
+    random.seed(6)
+    seqs = ["".join(random.choice("ACGT") for _ in range(n)) for n in (500, 20, 31, 200)]
+    seqs.append(revcomp(seqs[0])[100:400])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(seqs), pa.array([SCORED, 7, 6, 5, 6], pa.int32())], names=["node_id", "seq", "mark"])
+
+    def scores():
+        table = pa.Table.from_batches(list(K._classed(batch, 31, 1)))
+        return sorted(map(tuple, (r.values() for r in K._met(table, 31).to_pylist())))
+
+    whole = scores()
+    monkeypatch.setattr(K, "AT_ONCE", 64)
+    parts = pa.Table.from_batches(list(K._classed(batch, 31, 1)))
+    assert len(parts) > 10 and sum(r >> 3 for x in parts.column("runs").to_pylist() for r in x) == 470 + 1 + 170 + 270
+    assert scores() == whole == [(0, 0, 270), (2, 0, 1), (3, 170, 0), (4, 0, 270)]
+
+
+def trio_run(spark, query, folder):
+    """What the query gives, and how often Python goes through sequences, on 3000 nodes of 60 bases, a third unzipped on each haplotype."""
+    random.seed(7)
+    seqs = ["".join(random.choice("ACGT") for _ in range(60)) for _ in range(3000)]
+    none = "CAST(NULL AS BIGINT)"
+    spark.createDataFrame(list(enumerate(seqs)), "node_id long, seq string").selectExpr("node_id AS line_no", "node_id", "CAST(node_id AS STRING) AS name", "seq", f"{none} AS ln", f"{none} AS rc").write.parquet(f"{folder}/segments.parquet")
+    spark.read.parquet(f"{folder}/segments.parquet").limit(0).write.parquet(f"{folder}/shared_segments.parquet")
+    spark.range(3000).selectExpr("id AS src_id", "CAST(id % 3 - 1 AS TINYINT) AS phase").write.parquet(f"{folder}/uz_segments.parquet")
+    spark.range(3000).selectExpr("id AS pair_no", "id AS node_id", "id + 3000 AS alt_id").write.parquet(f"{folder}/alt_map.parquet")
+    df = query(spark, str(folder))
+    got = rows(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return got, plan.partition("Initial Plan")[0].count("MapInArrow")
+
+
+def test_trio_locks_reads_each_sequence_once(spark, tmp_path):
+    got, python_steps = trio_run(spark, Q.trio_locks, tmp_path)
+    assert got == [(n, n % 3 - 1) for n in range(3000) if n % 3]
+    assert python_steps == 1
+
+
 def edges_of(spark, pairs, graph=0):
     links = spark.createDataFrame([(graph, k, u, v, False, False, 0) for k, (u, v) in enumerate(pairs)], "graph_id long, link_no long, source_id long, target_id long, source_rev boolean, target_rev boolean, overlap long")
     return G.mirrored_edges(links)
