@@ -80,18 +80,6 @@ def unlabelled_alts(spark: SparkSession, sf: str) -> DataFrame:
     return B.unlabelled_alts(D.bubble_rows(spark, sf), D.edges(spark, sf), D.nodes(spark, sf))
 
 
-def _trio(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = D.nodes(spark, sf)
-    uz = load(spark, sf, "uz_segments").select(F.col("src_id").alias("node_id"), "phase")
-    parent = lambda p: K.kmer_set(nodes.join(uz.where(F.col("phase") == p).select("node_id").distinct(), "node_id", "left_semi"), K_TRIO)
-    return K.trio_scores(nodes, parent(0), parent(1), K_TRIO)
-
-
-def trio_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """K-mer hits of every node; a parent's k-mers are those of the nodes unzipped on one haplotype."""
-    return _trio(spark, sf)
-
-
 def _marked(spark: SparkSession, sf: str, nodes: DataFrame, scored: Column) -> DataFrame:
     """``nodes`` with the mark of ``sequence_scores``: whose parents' k-mers they give, and whether they are scored."""
     bit = lambda p, value: F.max(F.when(F.col("phase") == p, value).otherwise(0))
@@ -99,6 +87,12 @@ def _marked(spark: SparkSession, sf: str, nodes: DataFrame, scored: Column) -> D
     return nodes.join(parents, "node_id", "left").select("node_id", "seq", (F.coalesce("parents", F.lit(0)) + F.when(scored, K.SCORED).otherwise(0)).alias("mark"))
 
 
+def trio_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """K-mer hits of every node; a parent's k-mers are those of the nodes unzipped on one haplotype."""
+    nodes = D.nodes(spark, sf)
+    return K.sequence_scores(nodes, _marked(spark, sf, nodes, F.lit(True)), K_TRIO)
+
+
 def trio_locks(spark: SparkSession, sf: str) -> DataFrame:
     alts = D.alts(spark, sf).select("node_id")
     nodes = D.nodes(spark, sf).join(alts.withColumn("phasing", F.lit(True)), "node_id", "left")

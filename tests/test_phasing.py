@@ -119,6 +119,12 @@ def test_trio_locks_reads_each_sequence_once(spark, tmp_path):
     assert python_steps == 1
 
 
+def test_trio_scores_reads_each_sequence_once(spark, tmp_path):
+    got, python_steps = trio_run(spark, Q.trio_scores, tmp_path)
+    assert got == [(n, 30 * (n % 3 == 1), 30 * (n % 3 == 2)) for n in range(3000)]
+    assert python_steps == 1
+
+
 def edges_of(spark, pairs, graph=0):
     links = spark.createDataFrame([(graph, k, u, v, False, False, 0) for k, (u, v) in enumerate(pairs)], "graph_id long, link_no long, source_id long, target_id long, source_rev boolean, target_rev boolean, overlap long")
     return G.mirrored_edges(links)
